@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .pii import op8_pii
 from .quality_classifier import op7_quality_classifier
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_quality_classifier,)}
+    return {f.__name__: f for f in (op7_quality_classifier, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
