@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .pii import op8_pii
 from .quality_classifier import op7_quality_classifier
+from .quality_rules import op10_quality_rules
 from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_toxicity, op7_quality_classifier, op8_pii)}
+    return {f.__name__: f for f in (op5_toxicity, op7_quality_classifier, op8_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
