@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .packing import op3_packing
 from .pii import op8_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op10_quality_rules
@@ -10,7 +11,7 @@ from . import warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_toxicity, op7_quality_classifier, op8_pii, warc.op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_packing, op5_toxicity, op7_quality_classifier, op8_pii, warc.op9_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
