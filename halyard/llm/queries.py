@@ -7,12 +7,12 @@ from .pii import op8_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op10_quality_rules
 from .toxicity import op5_toxicity
-from . import warc
+from . import substrings, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op5_toxicity, op7_quality_classifier, op8_pii, warc.op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_packing, substrings.op4_substring_dedup, op5_toxicity, op7_quality_classifier, op8_pii, warc.op9_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE_SQL}
+    return {"op4_substring_dedup": substrings.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
