@@ -1,0 +1,44 @@
+"""Connected components of an edge table by alternating stars, each round a written table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import discard, materialize
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    least = _least(down)
+    rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """u, v: each node that has an edge and is not the smallest of its component, and that smallest node.
+
+    edges: long columns u and v; loops and repeats do no harm.
+    """
+    now = materialize(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = _state(now)
+    while True:
+        after = materialize(spark, _small_star(_large_star(now)), "edges")
+        discard(spark, now)
+        now, last, state = after, state, _state(after)
+        if state == last:
+            return now
