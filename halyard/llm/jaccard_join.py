@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, constants, discard, free_shuffles, groups_for, map_rows, materialize, shingles, table
+from .components import components
 
 THRESHOLD = 0.8
 #: 32 bands of 4: at similarity 0.8 no band is shared with probability (1 - 0.8^4)^32, under 1e-7.
@@ -76,21 +77,24 @@ def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, limits, chunk: int = 1
     return (np.concatenate(kept_i), np.concatenate(kept_j)) if kept_i else (i, j)
 
 
+#: Ids from here on stand for rows without an id.
+NAMELESS = (1 << 63) - 1 - (1 << 40)
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    """doc_id and text; a null id becomes one above NAMELESS that is made from the text."""
+    made = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text")
+
+
 def signed(documents: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id (null ids get one above all others, made from the text), no_id, digest of the text, signature or null."""
+    """doc_id, digest of the text, and its signature (null without words)."""
 
     def run(rows):
-        out = {"doc_id": [], "no_id": [], "digest": [], "sig": []}
-        for i, t in zip(rows["doc_id"], rows["text"]):
-            digest = hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            found = shingles(t, width)
-            out["doc_id"].append(i if i is not None else np.iinfo(np.int64).max - int.from_bytes(digest[:5], "little"))
-            out["no_id"].append(i is None)
-            out["digest"].append(digest)
-            out["sig"].append(signature(found).tolist() if len(found) else None)
-        return out
+        found = [shingles(t, width) for t in rows["text"]]
+        return {"doc_id": rows["doc_id"], "digest": [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in rows["text"]], "sig": [signature(x).tolist() if len(x) else None for x in found]}
 
-    return map_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, no_id boolean, digest binary, sig array<long>")
+    return map_rows(documents.select("doc_id", "text"), run, "doc_id long, digest binary, sig array<long>")
 
 
 def _sigs(column) -> np.ndarray:
@@ -190,14 +194,14 @@ def _verified(width: int, threshold: float):
         cuts = np.append(np.flatnonzero(np.append(True, gid[1:] != gid[:-1])), len(gid))
         out = {"rep": [], "links": [], "anchor": []}
         for a, b in zip(cuts[:-1], cuts[1:]):
-            ids = rep[a:b]
-            wanted = partners.slice(a, b - a).to_pylist()
-            i = np.repeat(np.arange(b - a), [len(x) for x in wanted])
+            ids, first = np.unique(rep[a:b], return_index=True)  # a row that is repeated counts once
+            wanted = [partners[int(a + k)].as_py() for k in first]
+            i = np.repeat(np.arange(len(ids)), [len(x) for x in wanted])
             j = np.searchsorted(ids, np.array([x for p in wanted for x in p], np.int64))
-            good = similar([shingles(x, width) for x in texts.slice(a, b - a).to_pylist()], i, j, threshold)
+            good = similar([shingles(texts[int(a + k)].as_py(), width) for k in first], i, j, threshold)
             i, j = i[good], j[good]
-            links = np.bincount(i, minlength=b - a) + np.bincount(j, minlength=b - a)
-            parent = list(range(b - a))
+            links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            parent = list(range(len(ids)))
 
             def top(x):
                 while parent[x] != x:
@@ -217,62 +221,47 @@ def _verified(width: int, threshold: float):
     return run
 
 
-def join(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest id that chains of links and equal texts reach), copy_id (the smallest id of the
-    same text), n_copies (rows of the same text) and n_links (other texts at the threshold or above), for each row.
-
-    Shingles are runs of `width` words in lower case (A-Z); shorter texts have one of all their words; null and empty
-    texts are copies of each other and have no links. A class_id or copy_id is null where no id is known. An id
-    stands for one document: rows of one id with different texts share their links.
-    """
-    from .components import components
-
+def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """The join over identified() documents: doc_id, class_id, copy_id, n_copies, n_links, without nulls."""
     groups = groups_for(documents, BUCKET_BYTES, 64)
     docs = materialize(spark, signed(documents, width), "jaccard-signatures")
     reps = materialize(spark, docs.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.any_value("sig").alias("sig")), "jaccard-classes")
     texts = reps.where(F.col("sig").isNotNull())
     bands = texts.select("rep", F.posexplode("sig").alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    # a row goes to each pair of its block and another (x, y); side -1: the block with itself
     blocked = (
         bands.join(shared, ["band", "value"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         .withColumn("x", F.pmod(F.xxhash64("rep", "value"), "blocks"))
         .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("rep", "band", F.xxhash64("band", "value", F.least("x", "y"), F.greatest("x", "y")).alias("gid"), F.when(F.col("x") == F.col("y"), -1).when(F.col("x") < F.col("y"), 0).otherwise(1).alias("near"), "x", "y")
+        .select("rep", "band", F.xxhash64("band", "value", F.least("x", "y"), F.greatest("x", "y")).alias("gid"), F.signum(F.col("x") - F.col("y")).cast("int").alias("order"))
+        .select("rep", "band", "gid", F.when(F.col("order") == 0, -1).when(F.col("order") < 0, 0).otherwise(1).alias("side"))
     )
-    # in the group of two blocks a row is on side 0 or 1; the group of a block with itself has side -1
-    sided = blocked.withColumn("side", F.col("near")).drop("near", "x", "y").join(texts.select("rep", "sig"), "rep")
-    survivors = sided.withColumn("part", F.pmod("gid", F.lit(groups))).groupBy("part").applyInArrow(_survivors(least_matches(threshold)), SURVIVORS)
+    part = F.pmod("gid", F.lit(groups))
+    survivors = blocked.join(texts.select("rep", "sig"), "rep").withColumn("part", part).groupBy("part").applyInArrow(_survivors(least_matches(threshold)), SURVIVORS)
     survivors = materialize(spark, survivors, "jaccard-candidates")
     free_shuffles(spark)
-    whole = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    if documents.where(F.col("doc_id").isNull()).limit(1).count():
-        whole = map_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _with_id, "rep long, text string")
-    found = survivors.join(whole.dropDuplicates(["rep"]) if _repeats(docs) else whole, "rep").withColumn("part", F.pmod("gid", F.lit(groups)))
+    found = survivors.join(documents.select(F.col("doc_id").alias("rep"), "text"), "rep").withColumn("part", part)
     links = materialize(spark, found.groupBy("part").applyInArrow(_verified(width, threshold), "rep long, links long, anchor long"), "jaccard-links")
     discard(spark, survivors)
     free_shuffles(spark)
     n_links = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = components(spark, links.select(F.col("rep").alias("u"), F.col("anchor").alias("v")))
-    by_text = reps.select("digest", "rep", "n_copies").join(n_links, "rep", "left").join(classes.select(F.col("u").alias("rep"), F.col("v").alias("class")), "rep", "left")
-    known = docs.groupBy("doc_id").agg(F.bool_and("no_id").alias("none")).where("none").select(F.col("doc_id").alias("nameless"))
-    out = docs.select("doc_id", "no_id", "digest").join(by_text, "digest").withColumn("class", F.coalesce("class", "rep"))
-    if not known.limit(1).count():
-        return out.select("doc_id", F.col("class").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = out.join(known.withColumnRenamed("nameless", "class").withColumn("no_class", F.lit(True)), "class", "left").join(known.withColumnRenamed("nameless", "rep").withColumn("no_rep", F.lit(True)), "rep", "left")
-    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), F.when(F.col("no_class").isNull(), F.col("class")).alias("class_id"), F.when(F.col("no_rep").isNull(), F.col("rep")).alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
+    least = components(spark, links.select(F.col("rep").alias("u"), F.col("anchor").alias("v"))).select(F.col("u").alias("rep"), F.col("v").alias("class_id"))
+    by_text = reps.select("digest", "rep", "n_copies").join(n_links, "rep", "left").join(least, "rep", "left")
+    return docs.select("doc_id", "digest").join(by_text, "digest").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
 
+def join(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest id that chains of links and equal texts reach), copy_id (the smallest id of the
+    same text), n_copies (rows of the same text) and n_links (other texts at the threshold or above), for each row.
 
-def _with_id(rows):
-    out = []
-    for i, t in zip(rows["doc_id"], rows["text"]):
-        digest = hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        out.append(i if i is not None else np.iinfo(np.int64).max - int.from_bytes(digest[:5], "little"))
-    return {"rep": out, "text": rows["text"]}
+    Shingles are runs of `width` words in lower case (A-Z); shorter texts have one of all their words; null and empty
+    texts are copies of each other and have no links. class_id and copy_id are null where no row of theirs has an id.
+    An id stands for one document: rows of one id with different texts share their links. Other columns are not read.
+    """
+    known = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return classes(spark, identified(documents), width, threshold).select(known("doc_id"), known("class_id"), known("copy_id"), "n_copies", "n_links")
 
 
 def op6_jaccard_join(spark, sf_dir):
