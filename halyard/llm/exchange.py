@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, _slices
+from .common import U64, _slices, fresh_path, input_bytes
 
 #: A null doc_id is taken as this one: above every other.
 NO_ID = np.iinfo(np.int64).max
@@ -19,12 +19,13 @@ LOW48 = U64((1 << 48) - 1)
 
 
 def slices(documents: DataFrame, most: int) -> DataFrame:
-    """slice_id, doc_ids, texts: documents in slices of about `most` bytes of text, by id within a slice.
+    """slice_id, doc_ids, sizes, texts: documents in slices of about `most` bytes of text, by id within a slice;
+    their texts (null: empty) are one compressed blob, which unpack_texts() cuts again.
 
-    The slice numbers hold for one run of the plan only: materialize() the result before it is read twice.
+    The slice numbers hold for one run of the plan only: see stored_slices().
     """
-    schema = "slice_id long, doc_ids array<long>, texts array<string>"
-    kind = pa.schema([("slice_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+    schema = "slice_id long, doc_ids array<long>, sizes array<int>, texts binary"
+    kind = pa.schema([("slice_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -32,7 +33,8 @@ def slices(documents: DataFrame, most: int) -> DataFrame:
 
         def made():
             order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([[ids[k] for k in order]], kind[1].type), pa.array([[texts[k] for k in order]], kind[2].type)], schema=kind)
+            raw = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in order]
+            return pa.RecordBatch.from_pylist([{"slice_id": number, "doc_ids": [ids[k] for k in order], "sizes": list(map(len, raw)), "texts": zstandard.compress(b"".join(raw), 3)}], kind)
 
         for batch in batches:
             t = batch.column("text").to_pylist()
@@ -51,6 +53,23 @@ def slices(documents: DataFrame, most: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def stored_slices(spark: SparkSession, documents: DataFrame, most: int) -> DataFrame:
+    """slices(), written as a table in buckets of slice_id in the shared folder: joins on slice_id move the other side only."""
+    path = fresh_path(spark, "slices")
+    name = "halyard_" + path.rpartition("-")[2]
+    number = max(8, input_bytes(documents) // (4 * most))
+    slices(documents, most).repartition(number, "slice_id").write.option("path", path).option("compression", "zstd").bucketBy(number, "slice_id").saveAsTable(name)
+    return spark.table(name)
+
+
+def unpack_texts(sizes: list[int], data: bytes) -> list[bytes]:
+    raw, out, at = zstandard.decompress(data), [], 0
+    for n in sizes:
+        out.append(raw[at : at + n])
+        at += n
+    return out
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U64(44)) % U64(buckets)).astype(np.int64)
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, discard, free_shuffles, groups_for, materialize, table, windows, word_hashes, words
-from .exchange import LOW48, NO_ID, bucket_of, by_bucket, member, pack48, pack_ids, runs, slices, unpack48, unpack_ids
+from .common import U64, discard, free_shuffles, groups_for, materialize, table, windows, word_hashes
+from .exchange import LOW48, NO_ID, bucket_of, by_bucket, member, pack48, pack_ids, runs, stored_slices, unpack48, unpack_ids, unpack_texts
 
 WIDTH = 13
 #: Text of a slice, and input for each hash bucket.
@@ -35,9 +35,9 @@ def block_of(width: int) -> int:
 class _Slice:
     """The documents of a slice by id, and windows over their words."""
 
-    def __init__(self, ids, texts):
-        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        self.words = [words(t) for t in texts]
+    def __init__(self, row: dict):
+        self.ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], np.int64)
+        self.words = [t.split() for t in unpack_texts(row["sizes"], row["texts"])]
         self.hashes = [word_hashes(w) for w in self.words]
 
     def windows(self, width: int, least: int, seed: int = 0, some=None):
@@ -64,7 +64,7 @@ def _probes(sliced: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                s = _Slice(r["doc_ids"], r["texts"])
+                s = _Slice(r)
                 keys, ids, _, n = s.windows(block, width)
                 indexed = np.concatenate([np.arange(k) % block == 0 for k in n]) if n else np.empty(0, bool)
                 order = np.argsort(keys, kind="stable")
@@ -113,7 +113,7 @@ def _candidates(width: int, buckets: int):
         out = []
         active = _received(right)
         if left.num_rows and len(active):
-            s = _Slice(left.column("doc_ids")[0].as_py(), left.column("texts")[0].as_py())
+            s = _Slice(left.to_pylist()[0])
             keys, _, some, n = s.windows(block, width)
             hit = member(keys & LOW48, active)
             parts, at = [], 0
@@ -153,8 +153,8 @@ def _finish(width: int, kind, make):
         out = []
         if left.num_rows:
             elsewhere = _received(right)
-            ids, texts = left.column("doc_ids")[0].as_py(), left.column("texts")[0].as_py()
-            s = _Slice(ids, texts)
+            row = left.to_pylist()[0]
+            s = _Slice(row)
             keys, d, some, n = s.windows(width, width, 1)
             repeated = member(keys & LOW48, elsewhere)
             order = np.argsort(keys, kind="stable")
@@ -164,7 +164,7 @@ def _finish(width: int, kind, make):
                 low[order] = np.repeat(d[order][start], np.diff(np.append(start, len(keys))))
                 repeated |= low < d
             cuts = dict(zip(some, np.split(repeated, np.cumsum(n)[:-1]) if some else []))
-            for i, doc_id in enumerate(ids):
+            for i, doc_id in enumerate(row["doc_ids"]):
                 gone = np.zeros(len(s.words[i]), bool)
                 if i in cuts and cuts[i].any():
                     change = np.zeros(len(gone) + 1, np.int64)
@@ -203,7 +203,7 @@ def dedupe(spark: SparkSession, documents: DataFrame, width: int = WIDTH, digest
     from pyspark.sql.pandas.types import to_arrow_schema
 
     buckets = groups_for(documents, BUCKET_BYTES, 64)
-    sliced = materialize(spark, slices(documents, SLICE_BYTES), "substring-slices")
+    sliced = stored_slices(spark, documents, SLICE_BYTES)
     active = materialize(spark, _probes(sliced, width, buckets).groupBy("bucket").applyInArrow(_active, FOUND), "substring-hits")
     free_shuffles(spark)
     sent = sliced.groupBy("slice_id").cogroup(active.groupBy("slice_id")).applyInArrow(_candidates(width, buckets), SENT)
