@@ -65,8 +65,12 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's size of the input: file sizes for tables."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The planner's size of the input (file sizes for tables), or its text's where the planner has none."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found >> 50:
+        strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        found = df.agg(F.sum(sum(strings, F.lit(16).cast("long")))).first()[0] or 0
+    return found
 
 
 def groups_for(df: DataFrame, each: int, least: int = 8) -> int:
