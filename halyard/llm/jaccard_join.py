@@ -81,10 +81,14 @@ def prune(sig: np.ndarray, i: np.ndarray, j: np.ndarray, limits, chunk: int = 1
 NAMELESS = (1 << 63) - 1 - (1 << 40)
 
 
-def identified(documents: DataFrame) -> DataFrame:
-    """doc_id and text; a null id becomes one above NAMELESS that is made from the text."""
+def known_id():
+    """doc_id, or for a null one an id above NAMELESS that is made from the text."""
     made = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text")
+    return F.coalesce(F.col("doc_id").cast("long"), made)
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    return documents.select(known_id().alias("doc_id"), "text")
 
 
 def signed(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -242,7 +246,8 @@ def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold
     survivors = blocked.join(texts.select("rep", "sig"), "rep").withColumn("part", part).groupBy("part").applyInArrow(_survivors(least_matches(threshold)), SURVIVORS)
     survivors = materialize(spark, survivors, "jaccard-candidates")
     free_shuffles(spark)
-    found = survivors.join(documents.select(F.col("doc_id").alias("rep"), "text"), "rep").withColumn("part", part)
+    # sorted and merged at every size: a broadcast of the candidates would end where they outgrow it
+    found = survivors.hint("merge").join(documents.select(F.col("doc_id").alias("rep"), "text"), "rep").withColumn("part", part)
     links = materialize(spark, found.groupBy("part").applyInArrow(_verified(width, threshold), "rep long, links long, anchor long"), "jaccard-links")
     discard(spark, survivors)
     free_shuffles(spark)
