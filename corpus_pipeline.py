@@ -1,10 +1,88 @@
-"""The corpus pipeline: classify, join near duplicates, decontaminate, redact, pack. Counted as part of the llm subpackage."""
+"""The corpus pipeline: classify, join near duplicates, decontaminate, redact, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of documents. run() writes each stage's rows as Parquet and reads them again. Counted as part of the llm
+subpackage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from halyard.llm import decontamination, jaccard_join, packing, pii, quality_classifier
+from halyard.llm.common import groups_for, materialize, table
+
+#: SQL can't express the trained classifier, so no stage after it has an oracle.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _texts(batch):
+    return batch.column(batch.schema.get_field_index("text")).to_pylist()
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7, learnt from the labelled rows among docs: rows that score below its threshold go."""
+    sent = spark.sparkContext.broadcast(quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([quality_classifier.score_text(t, sent.value) >= quality_classifier.KEEP_FROM for t in _texts(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of the documents that chains of links or equal texts join, the one with the smallest id stays.
+
+    Rows without an id stay if no row of their group has one, one for each group; of rows that repeat an id one stays.
+    """
+    key = "halyard group key"
+    keyed = docs.withColumn(key, jaccard_join.known_id())
+    first = jaccard_join.classes(spark, jaccard_join.identified(docs)).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(first.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: rows that hold a test item go."""
+    return decontamination.clean(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the kinds of personal data stand in their places; n_chars follows the text. No row goes."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [pii.redact(t, pii.finder().spans(t)) for t in _texts(batch)]
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            if (at := batch.schema.get_field_index("n_chars")) >= 0:
+                old = batch.column(at).to_pylist()
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([n if t is None else len(t) for t, n in zip(texts, old)], batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: pieces of all documents, with their sequences."""
+    return packing.pack(packing.pieces(docs), groups_for(docs, packing.GROUP_BYTES, 1))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", decontaminated),
+    ("personal data", redacted),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(spark, docs, f"pipeline-{k}")
+    return docs

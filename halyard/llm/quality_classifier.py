@@ -93,19 +93,20 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", mod: in
     return fit_ftrl([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.x, "<f4").astype(float), r.label) for r in rows], dimensions)
 
 
+def score_text(text: str | None, weights: np.ndarray) -> float:
+    i, x = features(text, len(weights))
+    return 1 / (1 + np.exp(-np.clip(float(weights[i] @ x), -35, 35)))
+
+
 def score(documents: DataFrame, weights: np.ndarray, mod: int = 5, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, held_out, score, predicted, one row for each row of documents; other columns are not read.
 
     Null and empty texts get the score of the bias alone; repeated rows are scored alike.
     """
-    dimensions, sent = len(weights), documents.sparkSession.sparkContext.broadcast(weights)
+    sent = documents.sparkSession.sparkContext.broadcast(weights)
 
     def scored(rows):
-        w = sent.value
-        out = []
-        for t in rows["text"]:
-            i, x = features(t, dimensions)
-            out.append(1 / (1 + np.exp(-np.clip(float(w[i] @ x), -35, 35))))
+        out = [score_text(t, sent.value) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "held_out": [held_out(i, mod) for i in rows["doc_id"]], "score": out, "predicted": [int(s >= keep_from) for s in out]}
 
     return map_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, held_out boolean, score double, predicted int")
