@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import features
+
+MODULES = [features]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
