@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features
+from . import features, timeline
 
-MODULES = [features]
+MODULES = [features, timeline]
 
 
 def queries() -> dict:

@@ -40,14 +40,29 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _simhash(batches):
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            digests = b"".join(hashlib.md5(w.encode()).digest() for w in set(text.lower().split(" ")))
+            votes = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).astype(np.int64)
+            p_hi, p_lo, d_hi, d_lo = np.packbits(2 * votes.sum(0) > len(votes)).view(">u4").tolist()
+            out.append({"id": str(i), "p_hi": p_hi, "p_lo": p_lo, "d_hi": d_hi, "d_lo": d_lo, "a_hi": p_lo, "a_lo": d_hi})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("id", pa.string()), *((c, pa.int64()) for c in HASH)]))
+
+
+HASH = ("p_hi", "p_lo", "d_hi", "d_lo", "a_hi", "a_lo")
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and three 64-bit hashes in halves: SimHashes of a document's words, a and two that mix the others' halves."""
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).select("doc_id", F.md5("w").alias("h"))
-    parts = {"p_hi": 1, "p_lo": 9, "d_hi": 17, "d_lo": 25}
-    words = words.select("doc_id", *[F.conv(F.substring("h", at, 8), 16, 10).cast("long").alias(n) for n, at in parts.items()])
-    votes = words.groupBy("doc_id").agg(*[F.sum(F.shiftright(n, b).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).alias(f"{n}{b}") for n in parts for b in range(32)])
-    found = votes.select(F.col("doc_id").cast("string").alias("id"), *[sum((F.when(F.col(f"{n}{b}") > 0, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(32)), F.lit(0).cast("long")).alias(n) for n in parts])
-    return found.withColumn("a_hi", F.col("p_lo")).withColumn("a_lo", F.col("d_hi"))
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where(F.col("text").isNotNull())
+    return words.mapInArrow(_simhash, "id string, " + ", ".join(f"{c} long" for c in HASH))
 
 
 def hashed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
