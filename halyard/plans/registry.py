@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, timeline
+from . import features, learning, timeline
 
-MODULES = [features, timeline]
+MODULES = [features, timeline, learning]
 
 
 def queries() -> dict:
