@@ -10,6 +10,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def clip(c: Column, low: float, high: float) -> Column:
+    """c within [low, high]; null for null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a).cast("array<double>"), _c(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -28,7 +33,7 @@ def normalized(a, least: float = 1e-8) -> Column:
 
 def cosine(a, b) -> Column:
     """Cosine clipped to [-1, 1]."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b))))
+    return clip(dot(a, b) / (norm(a) * norm(b)), -1.0, 1.0)
 
 
 def hash_vector(high, low) -> Column:

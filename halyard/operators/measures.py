@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 #: Weights of sharpness, exposure, contrast and resolution (fixed values).
 WEIGHTS = (0.40, 0.25, 0.20, 0.15)
 SHARPNESS_SCALE, EXPOSURE_TARGET, EXPOSURE_TOLERANCE, FULL_MEGAPIXELS = 500.0, 0.5, 0.5, 12.0
@@ -17,12 +19,12 @@ def megapixels() -> Column:
 
 def normalised(df: DataFrame) -> DataFrame:
     """Adds sharpness, exposure, contrast and resolution, each in [0, 1]."""
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    clip = lambda c: vectors.clip(c, 0.0, 1.0)
     return (
         df.withColumn("sharpness", F.col("laplacian_variance") / (F.col("laplacian_variance") + SHARPNESS_SCALE))
         .withColumn("exposure", clip(1 - F.abs(F.col("mean_luminance") - EXPOSURE_TARGET) / EXPOSURE_TOLERANCE))
         .withColumn("contrast", clip(F.col("contrast_p95_p5") / 255))
-        .withColumn("resolution", F.least(megapixels() / FULL_MEGAPIXELS, F.lit(1.0)))
+        .withColumn("resolution", clip(megapixels() / FULL_MEGAPIXELS))
     )
 
 

@@ -43,7 +43,7 @@ def features(df: DataFrame, key: list[str], dimensions: int = 64) -> DataFrame:
 def representation(df: DataFrame, key: list[str], dimensions: int = 64) -> DataFrame:
     """Adds representation: (1 + cosine with the context's centroid) / 2, or 1/2 if the centroid has no length."""
     centroid = df.groupBy(*key).agg(F.array(*[F.avg(F.col("f")[i]) for i in range(dimensions)]).alias("_c")).withColumn("_n", vectors.norm("_c"))
-    r = F.when(F.col("_n") <= 1e-9, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (vectors.dot("f", "_c") / F.col("_n") + 1) / 2)))
+    r = F.when(F.col("_n") <= 1e-9, 0.5).otherwise(vectors.clip((vectors.dot("f", "_c") / F.col("_n") + 1) / 2, 0.0, 1.0))
     return df.join(centroid, key).withColumn("representation", r).drop("_c", "_n")
 
 
@@ -57,7 +57,7 @@ def uniqueness(df: DataFrame, key: list[str], w: Weights = Weights()) -> DataFra
     peers = ranked.where(F.array_contains(places, F.col("_i").cast("long"))).select(*key, F.col("id").alias("_peer"), F.col("f").alias("_f"))
     listed = peers.groupBy(*key).agg(F.collect_list(F.struct("_peer", "_f")).alias("_peers"))
     most = F.array_max(F.transform(F.filter("_peers", lambda p: p["_peer"] != F.col("id")), lambda p: vectors.dot(p["_f"], "f")))
-    u = F.coalesce(F.least(F.lit(w.cap), F.greatest(F.lit(0.0), 1 - most)), F.lit(0.0))
+    u = F.coalesce(vectors.clip(1 - most, 0.0, w.cap), F.lit(0.0))
     return ranked.join(listed, key).withColumn("raw_uniqueness", u).drop("_i", "_n", "_peers")
 
 
@@ -78,7 +78,8 @@ def rank(df: DataFrame, key: list[str], context: str = "event", w: Weights = Wei
 def coverage_bins(df: DataFrame, key: list[str]) -> DataFrame:
     """Adds region: the quarter of the context's time in which a row lies, or unknown."""
     lo = df.groupBy(*key).agg(F.min("clock_us").alias("_lo"), F.max("clock_us").alias("_hi"))
-    quarter = F.least(F.lit(3), F.floor(4 * ((F.col("clock_us") - F.col("_lo")) / 1e6) / ((F.col("_hi") - F.col("_lo")) / 1e6 + 1)))
+    quarter = F.floor(4 * ((F.col("clock_us") - F.col("_lo")) / 1e6) / ((F.col("_hi") - F.col("_lo")) / 1e6 + 1))
+    quarter = F.when(quarter > 3, 3).otherwise(quarter)
     return df.join(lo, key).withColumn("region", F.coalesce(quarter.cast("string"), F.lit("unknown"))).drop("_lo", "_hi")
 
 
@@ -146,7 +147,7 @@ def best(df: DataFrame, k: int, w: Weights = Weights(), cut: int = 4096) -> Data
         picks.append((n, top.id, top.value, top.similar))
         regions.append(top.region)
         f, groups = F.array(*[F.lit(x) for x in top.f]), F.array(*[F.lit(g) for g in top.groups]).cast("array<string>")
-        after = now.where((F.col("id") != top.id) & ~F.coalesce(F.arrays_overlap("groups", groups), F.lit(False))).withColumn("similar", F.greatest("similar", F.greatest(F.lit(0.0), F.least(F.lit(1.0), vectors.dot("f", f)))))
+        after = now.where((F.col("id") != top.id) & ~F.coalesce(F.arrays_overlap("groups", groups), F.lit(False))).withColumn("similar", F.greatest("similar", vectors.clip(vectors.dot("f", f), 0.0, 1.0)))
         after = written(after, "best")
         dropped(now)
         now = after

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, learning, timeline
+from . import features, learning, media, timeline
 
-MODULES = [features, timeline, learning]
+MODULES = [features, timeline, learning, media]
 
 
 def queries() -> dict:
