@@ -7,9 +7,11 @@ tables partitioned by order. Probabilities are evaluated order by order, from si
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from .common import LOWER, U64, free_shuffles, groups_for, held_out, held_out_co
 from .exchange import LOW48, bucket_of, by_bucket, pack48, pack_plain, runs, stored_slices, unpack48, unpack_plain, unpack_texts
 
 ORDER = 2
+#: From the second level on the buckets are worked on in so many turns: as much less is on the way at once.
+TURNS = 2
 #: Counts up to this one are discounted by Good-Turing; larger ones give up this share.
 CUTOFF, LARGE = 5, 1e-3
 FOLD = 10
@@ -90,8 +94,7 @@ class _Level:
 
     def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, first: np.ndarray, words: int):
         """history: number of each token's history in the slice; word: its word's; train: tokens to count."""
-        key = history * words + word
-        found, place = np.unique(key, return_inverse=True)
+        place, found = pd.factorize(history * words + word)
         self.place = place
         self.history, self.word = found // words, found % words
         self.local = np.bincount(place, train, len(found)).astype(np.int64)
@@ -110,7 +113,7 @@ class _Slice:
         keys[np.delete(np.arange(len(keys)), ends)] = word_hashes([w for ws in raw for w in ws])
         self.first = np.append(0, ends[:-1] + 1)
         self.train = np.repeat(~self.held, self.sizes)
-        self.keys, self.word = np.unique(keys, return_inverse=True)
+        self.word, self.keys = pd.factorize(keys)
         self.n = len(keys)
         self.levels: list[_Level] = []
         self.history_key: list[np.ndarray] = []
@@ -136,9 +139,8 @@ class _Slice:
         h = self.history_key[number - 1]
         if number == 1:
             bucket = bucket_of(self.keys[x.word], model.buckets)
-            pair = bucket
-            order = np.lexsort((x.word, bucket))
-            pairs, sizes = np.unique(pair, return_counts=True)
+            order = np.argsort(bucket, kind="stable")
+            pairs, sizes = np.unique(bucket, return_counts=True)
             return order, bucket, pairs, np.zeros(len(pairs), np.int64), sizes, None
         asked = np.zeros(len(h), bool)
         asked[x.history[np.unique(x.place[~self.train])]] = True
@@ -150,19 +152,24 @@ class _Slice:
         query = np.repeat(hot, parts[hot])
         query_part = np.arange(len(query)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])
         pair = bucket * len(h) + x.history
-        pairs = np.unique(np.append(pair, spread(query, query_part) * len(h) + query))
-        order = np.lexsort((x.word, pair))
-        sizes = np.diff(np.append(np.searchsorted(pair[order], pairs), len(pair)))
+        order = np.argsort(pair, kind="stable")
+        sent = pair[order]
+        pairs = sent[runs(sent)]
+        if len(query):
+            pairs = np.unique(np.append(pairs, spread(query, query_part) * len(h) + query))
+        sizes = np.diff(np.append(np.searchsorted(sent, pairs), len(pair)))
         return order, bucket, pairs // len(h), pairs % len(h), sizes, asked
 
-    def send(self, number: int, counts, lower, model: Model):
-        """Rows for the buckets; counts: of the histories; lower: each token's probability at the level below."""
+    def send(self, number: int, counts, lower, model: Model, turn: int = 0, turns: int = 1):
+        """Rows for the buckets of a turn; counts: of the histories; lower: each token's probability at the level below."""
         x = self.level(number)
         order, bucket, pair_bucket, pair_history, sizes, asked = self.routes(number, counts, model)
         total = np.concatenate([[0], np.cumsum(sizes)])
         wkeys, local = self.keys[x.word[order]], x.local[order]
         low = lower[x.some[order]] if lower is not None else None
         for b, i, j in by_bucket(pair_bucket):
+            if b % turns != turn:
+                continue
             s, e = total[i], total[j]
             yield {
                 "bucket": b, "slice_id": self.slice_id, "sizes": pack_plain(sizes[i:j].astype("<u4")), "counts": pack_plain(local[s:e].astype("<u4")),
@@ -344,13 +351,13 @@ def _first_sender(model: Model):
     return run
 
 
-def _sender(number: int, model: Model):
+def _sender(number: int, model: Model, turn: int):
     def run(key, left, right):
         if not left.num_rows:
             return SENT_KIND.empty_table()
         s = _opened(left, model)
         evaluated = s.evaluate(_answers(right, model), model, number - 1)
-        return pa.Table.from_pylist(list(s.send(number, s.history_counts(number, evaluated), evaluated[-1][1], model)), SENT_KIND)
+        return pa.Table.from_pylist(list(s.send(number, s.history_counts(number, evaluated), evaluated[-1][1], model, turn, TURNS)), SENT_KIND)
 
     return run
 
@@ -366,7 +373,7 @@ def _finisher(order: int, model: Model):
 
 
 def train_and_score(spark: SparkSession, documents: DataFrame, order: int = ORDER):
-    """Learn from the documents outside the held-out fold and score all: (scores, [tables of each level], Model).
+    """Learn from the documents outside the held-out fold and score all: (scores, [tables of each level and turn], Model).
 
     A null text is an empty one, of its end token alone; rows with a null id are held out; repeated rows all count.
     Words that training never saw are one unknown word. Columns but doc_id and text are not read.
@@ -377,20 +384,19 @@ def train_and_score(spark: SparkSession, documents: DataFrame, order: int = ORDE
     tables: list[DataFrame] = []
 
     def answered():
-        some = tables[0]
-        for t in tables[1:]:
-            some = some.unionByName(t)
-        return some.where("kind = 'answer'").select("level", "bucket", "slice_id", "counts", "terms")
+        return functools.reduce(DataFrame.unionByName, tables).where("kind = 'answer'").select("level", "bucket", "slice_id", "counts", "terms")
 
-    for number in range(1, order + 1):
-        if number == 1:
-            rows = sliced.mapInArrow(_first_sender(model), SENT)
-        else:
-            rows = sliced.groupBy("slice_id").cogroup(answered().groupBy("slice_id")).applyInArrow(_sender(number, model), SENT)
+    def reduced(rows, number):
         tables.append(materialize(spark, rows.groupBy("bucket").applyInArrow(_reducer(number), FOUND), f"katz-{number}", "kind"))
         free_shuffles(spark)
-        model.facts.append(_facts(tables[-1], number))
 
+    reduced(sliced.mapInArrow(_first_sender(model), SENT), 1)
+    model.facts.append(_facts(tables[0], 1))
+    for number in range(2, order + 1):
+        known = answered()
+        for turn in range(TURNS):
+            reduced(sliced.groupBy("slice_id").cogroup(known.groupBy("slice_id")).applyInArrow(_sender(number, model, turn), SENT), number)
+        model.facts.append(_facts(functools.reduce(DataFrame.unionByName, tables[-TURNS:]), number))
     return sliced.groupBy("slice_id").cogroup(answered().groupBy("slice_id")).applyInArrow(_finisher(order, model), SCORED), tables, model
 
 
