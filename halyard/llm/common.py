@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -59,9 +60,15 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs (its cleaner follows the driver's garbage collection)."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished jobs.
+
+    Its cleaner follows the driver's garbage collection; one collection alone leaves those of the last job,
+    which the listeners still know.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def input_bytes(df: DataFrame) -> int:
