@@ -15,12 +15,16 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
-def dot(a, b) -> Column:
+def dot(a, b, dimensions: int | None = None) -> Column:
+    """Written out for a known number of dimensions, which compiles; else by higher-order functions, which are interpreted."""
+    if dimensions:
+        a, b = _c(a), _c(b)
+        return sum((a[i] * b[i] for i in range(1, dimensions)), a[0] * b[0])
     return F.aggregate(F.zip_with(_c(a).cast("array<double>"), _c(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a) -> Column:
-    return F.sqrt(dot(a, a))
+def norm(a, dimensions: int | None = None) -> Column:
+    return F.sqrt(dot(a, a, dimensions))
 
 
 def normalized(a, least: float = 1e-8) -> Column:
@@ -38,5 +42,5 @@ def cosine(a, b) -> Column:
 
 def hash_vector(high, low) -> Column:
     """A 64-bit hash as 64 numbers of +-1/8, the least bit first; a missing hash counts as 0."""
-    bit = lambda half: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.shiftright(F.coalesce(_c(half), F.lit(0).cast("long")), 0).bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) > 0).cast("double") * 0.25 - 0.125)
-    return F.concat(bit(low), bit(high))
+    one = F.lit(1).cast("long")
+    return F.array(*[F.when(F.shiftright(F.coalesce(_c(half), F.lit(0).cast("long")), i).bitwiseAND(one) == 1, 0.125).otherwise(-0.125) for half in (low, high) for i in range(32)])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, clocks, texts, vectors
+from ..sources.shared import written
 from .graph import labelled
 
 GAP_US, COARSE_US, SPAN_US = 120 * 60 * 10**6, 240 * 60 * 10**6, 18 * 3600 * 10**6
@@ -32,7 +33,9 @@ def segments(df: DataFrame, gap_us: int = GAP_US, span_us: int = SPAN_US) -> Dat
     A segment ends before a gap of more than gap_us, and before a row more than span_us after its first. Runs that
     are no longer than the span are segments as they are; in others the starts are found by a fold over their distinct clocks.
     """
-    runs = gap_runs(df, gap_us)
+    # what is read more than once is written once, and holds no more than the clocks
+    narrow = written(df.where(F.col("clock_us").isNotNull()).select("id", "tier", "aware", "clock_us"), "clocks")
+    runs = written(gap_runs(narrow, gap_us), "runs")
     key = ["tier", "aware", "run"]
     sizes = runs.groupBy(*key).agg(F.max("clock_us").alias("_hi"))
     long = sizes.where(F.col("_hi") - F.col("run") > span_us).select(*key)
@@ -49,7 +52,9 @@ def segments(df: DataFrame, gap_us: int = GAP_US, span_us: int = SPAN_US) -> Dat
     # the fold's input is a run's distinct clocks; its output is bounded by the time that the run spans
     starts = inside.groupBy(*key).applyInPandas(fold, "tier string, aware boolean, run long, segment_start long")
     starts = starts.groupBy(*key).agg(F.array_sort(F.collect_list("segment_start")).alias("_starts"))
-    return runs.join(starts, key, "left").withColumn("segment_start", F.coalesce(F.element_at(F.filter("_starts", lambda s: s <= F.col("clock_us")), -1), F.col("run"))).drop("_starts", "run")
+    # without long runs the list is null and the run itself is the segment
+    last = F.element_at(F.filter("_starts", lambda s: s <= F.col("clock_us")), -1)
+    return df.join(runs.join(starts, key, "left").select("id", F.coalesce(last, F.col("run")).alias("segment_start")), "id")
 
 
 def records(members: DataFrame, key: list[str]) -> DataFrame:

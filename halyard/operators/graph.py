@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, written
 
+#: Up to so many edges one task walks them; beyond, the rounds below are distributed. Both give the same rows.
+SMALL = 200_000
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+def _kept(edges: DataFrame):
+    """The edges written, and their count and sum of hashes, observed on the way."""
+    seen = Observation()
+    kept = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return kept, (seen.get["n"], seen.get["h"])
+
+
+def _walk(batches):
+    import pandas as pd
+
+    parent: dict = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
+            u, v = top(u), top(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    found = [(x, top(x)) for x in list(parent)]
+    found = [(x, t) for x, t in found if x != t]
+    yield pd.DataFrame({"u": [x for x, _ in found], "v": [t for _, t in found]})
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,12 +57,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns u and v of one ordered type; loops and repeats do no harm; no edges give no rows.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(now)
+    now, state = _kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if state[0] <= SMALL:
+        return now.coalesce(1).mapInPandas(_walk, now.schema)
     while True:
-        after = written(_small_star(_large_star(now)), "edges")
+        after, found = _kept(_small_star(_large_star(now)))
         dropped(now)
-        now, last, state = after, state, _state(after)
+        now, last, state = after, state, found
         if state == last:
             return now
 

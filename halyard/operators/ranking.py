@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..sources.shared import dropped, written
 
 
 @dataclass(frozen=True)
@@ -34,31 +35,32 @@ class Weights:
 
 def features(df: DataFrame, key: list[str], dimensions: int = 64) -> DataFrame:
     """Adds f: the unit vectors of a context if all its rows have one, else +-1/8 for each bit of the hash."""
-    has = F.col("vector").isNotNull() if "vector" in df.columns else F.lit(False)
-    every = df.groupBy(*key).agg(F.every(has).alias("_all"))
-    unit = vectors.normalized("vector") if "vector" in df.columns else F.lit(None).cast("array<double>")
+    if "vector" not in df.columns:
+        return df.withColumn("f", vectors.hash_vector("p_hi", "p_lo"))
+    every = df.groupBy(*key).agg(F.every(F.col("vector").isNotNull()).alias("_all"))
+    unit = vectors.normalized("vector")
     return df.join(every, key).withColumn("f", F.when(F.col("_all"), unit).otherwise(vectors.hash_vector("p_hi", "p_lo"))).drop("_all")
 
 
 def representation(df: DataFrame, key: list[str], dimensions: int = 64) -> DataFrame:
     """Adds representation: (1 + cosine with the context's centroid) / 2, or 1/2 if the centroid has no length."""
-    centroid = df.groupBy(*key).agg(F.array(*[F.avg(F.col("f")[i]) for i in range(dimensions)]).alias("_c")).withColumn("_n", vectors.norm("_c"))
-    r = F.when(F.col("_n") <= 1e-9, 0.5).otherwise(vectors.clip((vectors.dot("f", "_c") / F.col("_n") + 1) / 2, 0.0, 1.0))
+    centroid = df.groupBy(*key).agg(F.array(*[F.avg(F.col("f")[i]) for i in range(dimensions)]).alias("_c")).withColumn("_n", vectors.norm("_c", dimensions))
+    r = F.when(F.col("_n") <= 1e-9, 0.5).otherwise(vectors.clip((vectors.dot("f", "_c", dimensions) / F.col("_n") + 1) / 2, 0.0, 1.0))
     return df.join(centroid, key).withColumn("representation", r).drop("_c", "_n")
 
 
-def uniqueness(df: DataFrame, key: list[str], w: Weights = Weights()) -> DataFrame:
+def uniqueness(df: DataFrame, key: list[str], w: Weights = Weights(), dimensions: int = 64) -> DataFrame:
     """Adds raw_uniqueness: one less the largest dot product with the context's peers, capped; peers are at most
     w.peers + 1 rows evenly spread over the context's ids."""
     order = Window.partitionBy(*key).orderBy("id")
-    ranked = df.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    ranked = df.select(*key, "id", "f", (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*key)).alias("_n"))
     m = F.least(F.lit(w.peers + 1), F.col("_n"))
     places = F.when(m == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.floor(i * ((F.col("_n") - 1) / (m - 1)))))
     peers = ranked.where(F.array_contains(places, F.col("_i").cast("long"))).select(*key, F.col("id").alias("_peer"), F.col("f").alias("_f"))
-    listed = peers.groupBy(*key).agg(F.collect_list(F.struct("_peer", "_f")).alias("_peers"))
-    most = F.array_max(F.transform(F.filter("_peers", lambda p: p["_peer"] != F.col("id")), lambda p: vectors.dot(p["_f"], "f")))
-    u = F.coalesce(vectors.clip(1 - most, 0.0, w.cap), F.lit(0.0))
-    return ranked.join(listed, key).withColumn("raw_uniqueness", u).drop("_i", "_n", "_peers")
+    met = df.select(*key, "id", "f").join(peers, key).where(F.col("id") != F.col("_peer"))
+    most = met.groupBy(*key, "id").agg(F.max(vectors.dot("f", "_f", dimensions)).alias("_most"))
+    u = F.coalesce(vectors.clip(1 - F.col("_most"), 0.0, w.cap), F.lit(0.0))
+    return df.join(most, [*key, "id"], "left").withColumn("raw_uniqueness", u).drop("_most")
 
 
 def rank(df: DataFrame, key: list[str], context: str = "event", w: Weights = Weights()) -> DataFrame:
@@ -67,6 +69,7 @@ def rank(df: DataFrame, key: list[str], context: str = "event", w: Weights = Wei
     df: key columns, id, quality, sharpness, exposure, resolution, clipping, f (see features()).
     """
     a, b, c = w.of(context)
+    df = written(df, "features")  # read for centroids, peers and scores
     df = uniqueness(representation(df, key), key, w)
     u = F.when((F.col("quality") >= w.floor) & (F.col("representation") >= 0.35), F.col("raw_uniqueness")).otherwise(0.0)
     df = df.withColumn("uniqueness", u).withColumn("score", a * F.col("quality") + b * F.col("representation") + c * F.col("uniqueness"))
@@ -105,9 +108,8 @@ def pick(rows, k: int, w: Weights):
 def shortlist(df: DataFrame, key: list[str], k: int, w: Weights = Weights()) -> DataFrame:
     """rank, id, selection_score and similarity of the up to k chosen rows of each context.
 
-    df: rank()'s columns, region and groups (arrays of group ids, no two chosen rows share one). A pick lowers others
-    by at most w.diversity + w.coverage, so rows that k others in distinct groups beat by more can't be chosen; only
-    the first rows of each context by score, until that is sure, go to the greedy task.
+    df: rank()'s columns, region and groups (arrays of group ids, no two chosen rows share one). A context is one
+    greedy task, as large as an event can be; best() chooses from a whole library.
     """
     if not 0 <= k <= 100:
         raise ValueError("a short list has 0 to 100 rows")
@@ -128,28 +130,31 @@ def shortlist(df: DataFrame, key: list[str], k: int, w: Weights = Weights()) ->
     return df.select(*key, "id", "score", "quality", "raw_rank", "region", "f", "groups").groupBy(*key).applyInPandas(greedy, schema)
 
 
-def best(df: DataFrame, k: int, w: Weights = Weights(), cut: int = 4096) -> DataFrame:
-    """The greedy choice over a whole library: each of k rounds is one distributed update and one aggregate.
+def best(df: DataFrame, k: int, w: Weights = Weights(), dimensions: int = 64) -> DataFrame:
+    """The greedy choice over a whole library: each of k rounds is one distributed pass.
 
-    Only the last pick goes to the tasks. df: id, score, quality, raw_rank, region, f, groups.
+    A pass brings similarities up to date with the last pick and observes the best row; only that row moves.
+    df: id, score, quality, raw_rank, region, f, groups.
     """
-    from ..sources.shared import dropped, written
-
-    spark = df.sparkSession
-    now = written(df.select("id", "score", "quality", "raw_rank", "region", "f", "groups").withColumn("similar", F.lit(0.0)), "best")
+    spark, b = df.sparkSession, w.variant == "B"
+    now, last = df.select("id", "score", "quality", "raw_rank", "region", "f", "groups").withColumn("similar", F.lit(0.0)), None
     regions, picks = [], []
-    for n in range(1, k + 1):
-        bonus = F.when((F.col("quality") >= w.floor) & ~(F.col("region").isin(regions) if regions else F.lit(False)), w.coverage).otherwise(0.0) if w.variant == "B" else F.lit(0.0)
-        value = F.col("score") - ((w.diversity * F.col("similar")) if w.variant == "B" else F.lit(0.0)) + bonus
-        top = now.agg(F.min_by(F.struct("id", "region", "f", "groups", "similar", value.alias("value")), F.struct(-value, F.col("raw_rank"), F.col("id"))).alias("r")).first().r
+    while len(picks) < k:
+        bonus = F.when((F.col("quality") >= w.floor) & ~(F.col("region").isin(regions) if regions else F.lit(False)), w.coverage).otherwise(0.0) if b else F.lit(0.0)
+        value = F.col("score") - (w.diversity * F.col("similar") if b else F.lit(0.0)) + bonus
+        seen = Observation()
+        row = F.min_by(F.struct("id", "region", "f", "groups", "similar", value.alias("value")), F.struct(-value, F.col("raw_rank"), F.col("id")))
+        after = written(now.observe(seen, row.alias("r")), "best")
+        top = seen.get["r"]
+        if last is not None:
+            dropped(last)
+        last = after
         if top is None:
             break
-        picks.append((n, top.id, top.value, top.similar))
-        regions.append(top.region)
-        f, groups = F.array(*[F.lit(x) for x in top.f]), F.array(*[F.lit(g) for g in top.groups]).cast("array<string>")
-        after = now.where((F.col("id") != top.id) & ~F.coalesce(F.arrays_overlap("groups", groups), F.lit(False))).withColumn("similar", F.greatest("similar", vectors.clip(vectors.dot("f", f), 0.0, 1.0)))
-        after = written(after, "best")
-        dropped(now)
-        now = after
-    dropped(now)
+        picks.append((len(picks) + 1, top["id"], top["value"], top["similar"]))
+        regions.append(top["region"])
+        f, groups = F.array(*[F.lit(x) for x in top["f"]]), F.array(*[F.lit(g) for g in top["groups"] or []]).cast("array<string>")
+        now = after.where((F.col("id") != top["id"]) & ~F.coalesce(F.arrays_overlap("groups", groups), F.lit(False))).withColumn("similar", F.greatest("similar", vectors.clip(vectors.dot("f", f, dimensions), 0.0, 1.0)))
+    if last is not None:
+        dropped(last)
     return spark.createDataFrame(picks, "rank int, id string, selection_score double, similarity double")

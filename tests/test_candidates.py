@@ -114,3 +114,11 @@ def test_projection_neighbours_find_close_vectors(spark):
     assert len(got & expected) >= 0.95 * len(expected)
     top = candidates.cosine_topk(df.where("id = '0-0'"), df, 2).collect()
     assert {r.id for r in top} == {"0-1", "0-2"}
+
+
+def test_distributed_components_equal_the_walk(spark, monkeypatch):
+    pick = random.Random(5)
+    edges = spark.createDataFrame([(str(pick.randint(0, 300)), str(pick.randint(0, 300))) for _ in range(220)], "u string, v string")
+    one = {tuple(r) for r in graph.components(edges).collect()}
+    monkeypatch.setattr(graph, "SMALL", -1)
+    assert {tuple(r) for r in graph.components(edges).collect()} == one
