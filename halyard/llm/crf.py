@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Positions (padding included) that are worked on at once.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 @dataclass
@@ -43,8 +43,8 @@ def padded(emissions: list[np.ndarray], some: np.ndarray) -> tuple[np.ndarray, n
     return out, n
 
 
-def forward_backward(model: Model, e: np.ndarray, n: np.ndarray):
-    """Marginals of label 1, log partition functions, and expected label pairs summed over positions (2 x 2)."""
+def forward_backward(model: Model, e: np.ndarray, n: np.ndarray, learning: bool = True):
+    """Marginals of label 1, and for learning the expected label pairs summed over positions (2 x 2)."""
     steps, width = e.shape
     peak = np.maximum(e, 0)
     psi0, psi1 = np.exp(-peak), np.exp(e - peak)  # emission potentials, scaled to at most 1
@@ -58,7 +58,6 @@ def forward_backward(model: Model, e: np.ndarray, n: np.ndarray):
         s = p0 + p1
         scale[t], a0[t], a1[t] = s, p0 / s, p1 / s
     alive = np.arange(steps)[:, None] < n
-    log_z = np.where(alive, np.log(scale) + peak, 0).sum(0)
     b0, b1 = np.ones(width), np.ones(width)
     marginal, pairs = np.empty((steps, width)), np.zeros((2, 2))
     for t in range(steps - 1, -1, -1):
@@ -66,16 +65,17 @@ def forward_backward(model: Model, e: np.ndarray, n: np.ndarray):
         if t:
             on = alive[t]
             q0, q1 = psi0[t] * b0 / scale[t], psi1[t] * b1 / scale[t]
-            x = np.array([[a0[t - 1] * m[0, 0] * q0, a0[t - 1] * m[0, 1] * q1], [a1[t - 1] * m[1, 0] * q0, a1[t - 1] * m[1, 1] * q1]]) * on
-            pairs += x.sum(-1)
+            if learning:
+                x = np.array([[a0[t - 1] * m[0, 0] * q0, a0[t - 1] * m[0, 1] * q1], [a1[t - 1] * m[1, 0] * q0, a1[t - 1] * m[1, 1] * q1]]) * on
+                pairs += x.sum(-1)
             b0, b1 = np.where(on, m[0, 0] * q0 + m[0, 1] * q1, 1.0), np.where(on, m[1, 0] * q0 + m[1, 1] * q1, 1.0)
-    return np.where(alive, marginal, 0.0), log_z, pairs
+    return np.where(alive, marginal, 0.0), pairs
 
 
 def marginals(model: Model, emissions: list[np.ndarray]) -> list[np.ndarray]:
     out = [np.empty(0)] * len(emissions)
     for some in batches(np.array([len(x) for x in emissions], int)):
-        p, _, _ = forward_backward(model, *padded(emissions, some))
+        p, _ = forward_backward(model, *padded(emissions, some), learning=False)
         for k, i in enumerate(some):
             out[i] = p[: len(emissions[i]), k]
     return out
@@ -118,7 +118,7 @@ def fit(sequences, dimensions: int, epochs: int = 5, rate: float = 1.0, l2: floa
             some = groups[g]
             feats = [sequences[i][0] for i in some]
             e, n = padded([np.where(f < 0, 0.0, model.weights[f]).sum(1) for f in feats], np.arange(len(some)))
-            p, _, grad_m = forward_backward(model, e, n)
+            p, grad_m = forward_backward(model, e, n)
             touched, place = np.unique(np.concatenate([f.ravel() for f in feats]), return_inverse=True)
             error = np.concatenate([p[: n[k], k] - sequences[i][1] for k, i in enumerate(some)])
             grad_w = np.bincount(place, np.repeat(error, feats[0].shape[1]))[touched >= 0]

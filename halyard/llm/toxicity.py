@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
@@ -60,49 +60,50 @@ def families(texts: list[str]) -> list[int]:
     return [top(i) for i in range(len(texts))]
 
 
+#: Words whose emissions a task keeps.
+KNOWN_WORDS = 400_000
+
+
 @dataclass
 class Tagger:
     model: crf.Model
+    known: dict = field(default_factory=dict, repr=False)
+
+    def emission(self, word: str) -> float:
+        if (e := self.known.get(word)) is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            w = self.model.weights
+            e = self.known[word] = float(sum(w[i] for i in slots(word.lower(), len(w)) if i >= 0))
+        return e
+
+    def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The probability of being toxic of each word of each text."""
+        return crf.marginals(self.model, [np.array([self.emission(w) for w in WORD.findall(t)]) if t else np.empty(0) for t in texts])
 
-    def emissions(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[tuple[int, int]]]]:
-        known: dict[str, float] = {}
-        w, out, spans = self.model.weights, [], []
-        for t in texts:
-            found = [m.span() for m in WORD.finditer(t)] if t else []
-            row = []
-            for a, b in found:
-                word = t[a:b]
-                if (e := known.get(word)) is None:
-                    e = known[word] = float(sum(w[i] for i in slots(word.lower(), len(w)) if i >= 0))
-                row.append(e)
-            out.append(np.array(row))
-            spans.append(found)
-        return out, spans
-
-    def marginals(self, texts):
-        e, spans = self.emissions(texts)
-        return crf.marginals(self.model, e), spans
-
-
-def lexicon(docs: list[set[bytes]], labels: list[int], family: list[int]) -> set[bytes]:
-    """Features whose toxic families outnumber what the share of toxic documents would give."""
+
+def lexicon(docs, labels: list[int], family: list[int]) -> set[bytes]:
+    """Features whose toxic families outnumber what the share of toxic documents would give.
+
+    docs: a function that gives each document's set of features in turn; it is read twice, so that one set is held at a time.
+    """
     toxic_families, all_families = {f for f, y in zip(family, labels) if y}, set(family)
     base = min(max(len(toxic_families) / max(len(all_families), 1), 1e-3), 0.5)
     has: dict[bytes, set] = defaultdict(set)
-    for keys_of, f, y in zip(docs, family, labels):
+    for found, f, y in zip(docs(), family, labels):
         if y:
-            for k in keys_of:
+            for k in found:
                 has[k].add(f)
     least = EVIDENCE / np.log(1 / base)
-    good: dict[bytes, set] = {k: set() for k, v in has.items() if len(v) >= least}
-    for keys_of, f, y in zip(docs, family, labels):
+    has = {k: v for k, v in has.items() if len(v) >= least}
+    clean: dict[bytes, set] = {k: set() for k in has}
+    for found, f, y in zip(docs(), family, labels):
         if not y:
-            for k in keys_of:
-                if k in good:
-                    good[k].add(f)
+            for k in found & clean.keys():
+                clean[k].add(f)
     out = set()
-    for k, clean in good.items():
-        t, c = len(has[k]), len(has[k]) + len(clean - has[k])
+    for k, v in has.items():
+        t, c = len(v), len(v) + len(clean[k] - v)
         q = min(t / c, 1 - 1e-9)
         if q >= PURITY and t * np.log(q / base) + (c - t) * np.log((1 - q) / (1 - base)) >= EVIDENCE:
             out.add(k)
@@ -115,17 +116,15 @@ def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, limit: int = TRAI
     Without labelled rows the tagger knows no toxic word and scores stay near 0.
     """
     rows = sorted(training_sample(documents, labels, "toxic", mod, limit).collect(), key=lambda r: (r.doc_id, r.label, r.text))
-    texts, y = [r.text for r in rows], [r.label for r in rows]
-    tokens = [WORD.findall(t.lower()) for t in texts]
-    toxic = lexicon([{k for w in set(ws) for k in keys(w)} for ws in tokens], y, families(texts))
-    known: dict[str, tuple[list[int], bool]] = {}
-    sequences = []
-    for ws, label in zip(tokens, y):
-        if ws:
-            for w in ws:
-                if w not in known:
-                    known[w] = (slots(w, dimensions), any(k in toxic for k in keys(w)))
-            sequences.append((np.array([known[w][0] for w in ws]), np.array([int(label and known[w][1]) for w in ws])))
+    y, family = [r.label for r in rows], families([r.text for r in rows])
+    number: dict[str, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(r.text.lower())], np.int32) for r in rows]
+    del rows
+    words = list(number)
+    toxic = lexicon(lambda: ({k for i in np.unique(d).tolist() for k in keys(words[i])} for d in docs), y, family)
+    slot = np.array([slots(w, dimensions) for w in words], np.int32).reshape(len(words), 1 + len(PREFIXES))
+    bad = np.array([any(k in toxic for k in keys(w)) for w in words], bool)
+    sequences = [(slot[d], (bad[d] & bool(label)).astype(np.int8)) for d, label in zip(docs, y) if len(d)]
     model = crf.fit(sequences, dimensions) if sequences else crf.Model(np.zeros(dimensions, np.float32), np.array([0.0, -8.0]), np.array([[0.0, -8.0], [0.0, -8.0]]))
     return Tagger(model)
 
@@ -136,9 +135,12 @@ def score(documents: DataFrame, tagger: Tagger, mod: int = 5) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(tagger)
 
     def scored(rows):
-        p, spans = sent.value.marginals(rows["text"])
+        p = sent.value.marginals(rows["text"])
         best = [float(x.max()) if len(x) else 0.0 for x in p]
-        found = [[{"start": s[i][0], "stop": s[i][1], "marginal": float(x[i])} for i in np.flatnonzero(x >= OFFENDING)] for x, s in zip(p, spans)]
+        found = []
+        for t, x, s in zip(rows["text"], p, best):
+            spans = [m.span() for m in WORD.finditer(t)] if s >= OFFENDING else []
+            found.append([{"start": spans[i][0], "stop": spans[i][1], "marginal": float(x[i])} for i in np.flatnonzero(x >= OFFENDING)] if spans else [])
         return {"doc_id": rows["doc_id"], "held_out": [held_out(i, mod) for i in rows["doc_id"]], "score": best, "predicted": [int(s >= 0.5) for s in best], "n_offending": [len(x) for x in found], "offending": found}
 
     return map_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, held_out boolean, score double, predicted int, n_offending long, offending array<struct<start:long,stop:long,marginal:double>>")
