@@ -47,7 +47,7 @@ def segments(df: DataFrame, gap_us: int = GAP_US, span_us: int = SPAN_US) -> Dat
             if start is None or t - start > span_us:
                 start = t
                 out.append(t)
-        return pdf.head(len(out))[key].assign(segment_start=out)
+        return type(pdf)({k: [pdf[k].iloc[0]] * len(out) for k in key} | {"segment_start": out})
 
     # the fold's input is a run's distinct clocks; its output is bounded by the time that the run spans
     starts = inside.groupBy(*key).applyInPandas(fold, "tier string, aware boolean, run long, segment_start long")

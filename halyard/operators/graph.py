@@ -36,7 +36,8 @@ def _walk(batches):
                 parent[max(u, v)] = min(u, v)
     found = [(x, top(x)) for x in list(parent)]
     found = [(x, t) for x, t in found if x != t]
-    yield pd.DataFrame({"u": [x for x, _ in found], "v": [t for _, t in found]})
+    if found:
+        yield pd.DataFrame({"u": [x for x, _ in found], "v": [t for _, t in found]})
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -52,13 +53,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: int | None = None) -> DataFrame:
     """u, v: each node that has an edge and is not the least of its component, and that least node.
 
     edges: columns u and v of one ordered type; loops and repeats do no harm; no edges give no rows.
+    small: up to so many edges one task walks them (SMALL; 0: never).
     """
     now, state = _kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if state[0] <= SMALL:
+    if state[0] <= (SMALL if small is None else small):
         return now.coalesce(1).mapInPandas(_walk, now.schema)
     while True:
         after, found = _kept(_small_star(_large_star(now)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ..functions import clocks, vectors
-from ..operators import candidates, evidence, grouping, measures
+from ..operators import candidates, detection, evidence, grouping, measures
 from ..sources import bridge
 
 #: The test tables have few pairs within the usual thresholds, so these are wider.
@@ -88,6 +90,26 @@ def near_groups_complete_link(spark, sf_dir):
     return grouping.complete_link(pairs(spark, sf_dir).where("near").select("a", "b"))
 
 
+def _detected(spark, sf_dir):
+    return detection.detect(verified(hashed(spark, sf_dir)), WIDE)
+
+
+def detection_groups(spark, sf_dir):
+    return _detected(spark, sf_dir)["groups"]
+
+
+def detection_statistics(spark, sf_dir):
+    return _detected(spark, sf_dir)["statistics"]
+
+
+def hybrid_recovery(spark, sf_dir):
+    """Pairs that only their vectors (here the hashes again) show to be near."""
+    strict = dataclasses.replace(WIDE, phash=1, recovery_cosine=0.7, recovery_correlation=0.7, recovery_hash=24)
+    rows = verified(hashed(spark, sf_dir)).withColumn("vector", F.col("gray")).where("tier <> 'exif_timezone' AND tier <> 'exif_naive'")
+    found = candidates.hamming_pairs(rows, strict.recovery_phash).select("a", "b")
+    return evidence.compared(found, rows, strict).where("recovered").select("a", "b", "phash", "reliability", "relationship")
+
+
 def cosine_topk(spark, sf_dir):
     vecs = bridge.vectors(spark, sf_dir)
     return candidates.cosine_topk(vecs.where(F.col("id").cast("long") % 100 == 0), vecs, 5).select("query", "id", "rank", F.round("cosine", 6).alias("cosine"))
@@ -97,7 +119,7 @@ def projection_knn(spark, sf_dir):
     return candidates.projection_neighbours(bridge.vectors(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES = [quality_score, quality_warnings, quality_histogram, capture_clock, exact_groups, exact_groups_blocked, representatives, reclaimable_bytes, near_candidates_r8, burst_candidates, pair_verdicts, near_groups_complete_link, cosine_topk, projection_knn]
+QUERIES = [quality_score, quality_warnings, quality_histogram, capture_clock, exact_groups, exact_groups_blocked, representatives, reclaimable_bytes, near_candidates_r8, burst_candidates, pair_verdicts, near_groups_complete_link, detection_groups, detection_statistics, hybrid_recovery, cosine_topk, projection_knn]
 
 A, H = "WITH " + bridge.ORACLE_ASSET, "WITH " + bridge.ORACLE_ASSET + ", " + bridge.ORACLE_HASH
 HAM = lambda n: f"CAST(bit_count(xor(l.{n}_hi, r.{n}_hi)) + bit_count(xor(l.{n}_lo, r.{n}_lo)) AS INT)"
@@ -114,7 +136,10 @@ _PAIRS = f""", j AS (SELECT l.id AS a, r.id AS b, l.sha256 AS sa, r.sha256 AS sb
  g AS (SELECT * FROM j WHERE coalesce(sa <> sb, true) AND (phash <= 8 OR (gap_s <= 900 AND phash <= 28))),
  f AS (SELECT *, coalesce(textured AND phash <= 8 AND dhash <= 20 AND ahash <= 20 AND aspect <= 1 AND correlation >= 0.75 AND chroma <= 1, false) AS near,
   coalesce(textured AND gap_s <= 900 AND phash <= 28 AND dhash <= 40 AND ahash <= 40 AND aspect <= 1 AND correlation >= 0 AND chroma <= 1, false) AS burst FROM g)"""
+_CANON = ", firsts AS (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY coalesce(sha256, 'missing:' || id) ORDER BY quality DESC, CAST(width AS BIGINT) * height DESC, sharpness DESC, exposure DESC, id) = 1), canon AS (SELECT * FROM firsts WHERE entropy_bits >= 3 AND contrast_p95_p5 >= 25)"
 ORACLES = {
+    "detection_statistics": H + _CANON + _PAIRS.replace("FROM hashed l JOIN hashed r", "FROM canon l JOIN canon r") + " SELECT count(*) AS candidates, count(*) FILTER (WHERE near) AS near, count(*) FILTER (WHERE burst) AS bursts FROM f",
+    "hybrid_recovery": H + _PAIRS.replace("FROM hashed l JOIN hashed r", "FROM (SELECT * FROM hashed WHERE tier NOT LIKE 'exif%') l JOIN (SELECT * FROM hashed WHERE tier NOT LIKE 'exif%') r") + " SELECT a, b, phash, CAST(0.85 AS DOUBLE) AS reliability, 'NEAR_DUPLICATE' AS relationship FROM j WHERE coalesce(sa <> sb, true) AND textured AND NOT (phash <= 1 AND dhash <= 20 AND ahash <= 20) AND phash <= 8 AND dhash <= 24 AND ahash <= 24 AND aspect <= 1 AND chroma <= 1 AND correlation >= 0.7",
     "quality_score": A + " SELECT id, round(sharpness, 6) AS sharpness, round(exposure, 6) AS exposure, round(contrast, 6) AS contrast, round(resolution, 6) AS resolution, round(quality, 6) AS quality FROM scored",
     "quality_warnings": A + " SELECT id, concat_ws(',', CASE WHEN sharpness < 0.15 THEN 'low_sharpness' END, CASE WHEN underexposed > 0.25 THEN 'underexposed' END, CASE WHEN overexposed > 0.25 THEN 'overexposed' END, CASE WHEN CAST(width AS DOUBLE) * height / 1e6 < 1 THEN 'low_resolution' END) AS warnings FROM scored",
     "quality_histogram": A + " SELECT CAST(least(floor(quality * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM scored GROUP BY 1",

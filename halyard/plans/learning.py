@@ -80,6 +80,10 @@ def pref_train(spark, sf_dir):
     return spark.createDataFrame([(n, round(w, 4), m.alpha, m.regularization, found["active"]) for n, w in zip(preferences.NAMES, m.weights)], "feature string, weight double, alpha double, regularization double, active boolean")
 
 
+def learning_curve(spark, sf_dir):
+    return preferences.learning_curve(_examples(spark, sf_dir), (10, 50, 100))
+
+
 def sign_test(spark, sf_dir):
     rows = evaluation.decisive(_examples(spark, sf_dir))
     d = lambda s: F.when(F.abs(F.col(f"a.{s}") - F.col(f"b.{s}")) < 1e-10, 0.5).otherwise(((F.col(f"a.{s}") > F.col(f"b.{s}")) == (F.col("choice") == "a")).cast("double"))
@@ -132,7 +136,7 @@ def sticky_partition(spark, sf_dir):
     return preferences.sticky_partitions(components, ledger)
 
 
-QUERIES = [binary_metrics, cluster_metrics, assignment_rates, graded_metrics, graded_macro, pref_features, pref_accuracy, pref_train, sign_test, group_bootstrap, consistency, pair_pool, latest_decision, incremental_missing, upsert, sticky_partition]
+QUERIES = [binary_metrics, cluster_metrics, assignment_rates, graded_metrics, graded_macro, pref_features, pref_accuracy, pref_train, learning_curve, sign_test, group_bootstrap, consistency, pair_pool, latest_decision, incremental_missing, upsert, sticky_partition]
 
 _R6 = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
 _GRADED = """, g AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY quality DESC, id) AS position, doc_id % 4 AS relevance, doc_id % 11 = 0 AS favorite, source AS region, coalesce(sha256, id) AS moment FROM scored),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import events, grouping, ranking
+from ..operators import events, explanations, grouping, hierarchy, ranking
 from ..operators.graph import labelled
 from ..sources import bridge
 from .features import A, H, hashed, scored
@@ -58,6 +58,17 @@ def dbscan_events(spark, sf_dir):
     return events.density_clusters(rows.where(F.col("clock_us").isNotNull()), events.density_edges(rows, 0.35))
 
 
+def hdbscan_events(spark, sf_dir):
+    """Hierarchical clusters inside the runs of clocks; windows over 256 rows are left for review."""
+    rows = events.gap_runs(_with_vectors(spark, sf_dir), events.COARSE_US)
+    return hierarchy.window_clusters(rows, ["tier", "aware", "run"])
+
+
+def explained(spark, sf_dir):
+    rows = _ranked(spark, sf_dir, ranking.Weights())
+    return rows.where("raw_rank <= 3").select("id", "raw_rank", F.array_join(explanations.weak_points(), "; ").alias("weak_points"), F.size(explanations.reasons()).alias("reasons"))
+
+
 def connected_components(spark, sf_dir):
     rows = scored(spark, sf_dir)
     exact = grouping.exact_groups(rows)
@@ -118,7 +129,7 @@ def export_manifest(spark, sf_dir):
     return manifest(rows.select("id", F.concat(F.when(F.col("doc_id") % 13 == 0, "=").otherwise("/lib/"), "filename").alias("source_path"), F.col("filename").alias("source_name"), F.col("raw_rank").alias("rank"), F.when(F.col("tier") != "filesystem", F.concat("tier", F.lit(":"), "segment_start")).alias("event"), F.round("quality", 6).alias("technical_quality_v1"), label.alias("user_label")))
 
 
-QUERIES = [event_segments, event_records, event_assignments, event_representatives, event_overlay, dbscan_events, connected_components, holdout_partition, rank_a, rank_b, coverage_bins, shortlist_per_event, best20_library, export_manifest]
+QUERIES = [event_segments, event_records, event_assignments, event_representatives, event_overlay, dbscan_events, hdbscan_events, explained, connected_components, holdout_partition, rank_a, rank_b, coverage_bins, shortlist_per_event, best20_library, export_manifest]
 
 _SEG = """, o AS (SELECT id, tier, aware, clock_us, row_number() OVER (PARTITION BY tier, aware ORDER BY clock_us, id) AS rn FROM scored WHERE clock_us IS NOT NULL),
  w(id, tier, aware, rn, clock_us, segment_start) AS (SELECT id, tier, aware, rn, clock_us, clock_us FROM o WHERE rn = 1 UNION ALL
