@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import U64, constants, discard, free_shuffles, groups_for, map_rows, materialize, shingles, table
-from .components import components
 
 THRESHOLD = 0.8
 #: 32 bands of 4: at similarity 0.8 no band is shared with probability (1 - 0.8^4)^32, under 1e-7.
@@ -252,7 +252,7 @@ def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold
     discard(spark, survivors)
     free_shuffles(spark)
     n_links = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    least = components(spark, links.select(F.col("rep").alias("u"), F.col("anchor").alias("v"))).select(F.col("u").alias("rep"), F.col("v").alias("class_id"))
+    least = components(links.select(F.col("rep").alias("u"), F.col("anchor").alias("v")), 0).select(F.col("u").alias("rep"), F.col("v").alias("class_id"))
     by_text = reps.select("digest", "rep", "n_copies").join(n_links, "rep", "left").join(least, "rep", "left")
     return docs.select("doc_id", "digest").join(by_text, "digest").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
