@@ -145,6 +145,7 @@ ORACLES = {
     "quality_histogram": A + " SELECT CAST(least(floor(quality * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM scored GROUP BY 1",
     "capture_clock": A + " SELECT id, tier, aware, clock_us, CASE tier WHEN 'exif_timezone' THEN 'high' WHEN 'exif_naive' THEN 'medium' WHEN 'filesystem' THEN 'low' ELSE 'none' END AS confidence FROM asset",
     "exact_groups": A + " SELECT sha256, count(*) AS n, min(id) AS first_id FROM asset WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1",
+    "exact_groups_blocked": A + _EXACT + ", z AS (SELECT id, sha256, count(*) OVER (PARTITION BY sha256) AS n, max(id) OVER (PARTITION BY sha256) AS last FROM ex) SELECT id, sha256, CAST(0 AS INT) AS part FROM z WHERE n > 2 AND id <> last",
     "representatives": A + _EXACT + " SELECT e.sha256, b.id AS representative, count(*) AS n, count(*) FILTER (WHERE e.sharpness < b.sharpness) AS sharper_than, count(*) FILTER (WHERE e.exposure < b.exposure) AS better_exposed_than FROM ex e JOIN best b ON b.sha256 = e.sha256 AND b.rn = 1 GROUP BY e.sha256, b.id",
     "reclaimable_bytes": A + _EXACT + " SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(*) AS files FROM best WHERE rn > 1 AND link_count = 1",
     "near_candidates_r8": H + f" SELECT l.id AS a, r.id AS b, {HAM('p')} AS distance FROM hashed l JOIN hashed r ON l.id < r.id WHERE {HAM('p')} <= 8",

@@ -153,6 +153,10 @@ def _rank_sql(score: str) -> str:
     return _HS + _RANKED + f" SELECT id, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY {score} DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS raw_rank, round({score}, 5) AS score, round(representation, 5) AS representation, round(uniqueness, 5) AS uniqueness, round(cume_dist() OVER (PARTITION BY tier, aware, segment_start ORDER BY sharpness), 5) AS sharpness_percentile FROM ctx"
 
 
+_K, _X = "tier, aware, segment_start", "x.tier, x.aware, x.segment_start"
+_BITS = "bit_count(xor(x.p_hi, {y}.p_hi)) + bit_count(xor(x.p_lo, {y}.p_lo))"
+_APART = "NOT (coalesce(x.sha256 = {y}.sha256, false) OR " + _BITS + " <= 2)"
+_SIM = "greatest(0, least(1, 1 - (" + _BITS + ") / 32.0::DOUBLE))"
 ORACLES = {
     "event_segments": _S + " SELECT id, tier, aware, segment_start FROM seg",
     "event_records": _S + ", m AS (SELECT s.*, g.segment_start FROM scored s JOIN seg g USING (id)), r AS (SELECT 'auto-' || sha256('{\"members\":[' || string_agg('[\"' || id || '\",\"' || fingerprint || '\"]', ',' ORDER BY id, fingerprint) || ']}') AS event_id, count(*) AS n, arg_min(id, (clock_us, id)) AS first_id, arg_max(id, (clock_us, id)) AS last_id, "
@@ -165,7 +169,20 @@ ORACLES = {
     "rank_b": _rank_sql("(0.6 * quality + 0.35 * representation + 0.05 * uniqueness)"),
     "coverage_bins": A + ", l AS (SELECT lang, min(clock_us) AS lo, max(clock_us) AS hi FROM scored GROUP BY lang) SELECT id, lang, coalesce(CAST(CAST(least(3, floor(4 * ((clock_us - lo) / 1e6) / ((hi - lo) / 1e6 + 1))) AS BIGINT) AS VARCHAR), 'unknown') AS region FROM scored JOIN l USING (lang)",
     "dbscan_events": A + ", v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT s.id, tier, aware, clock_us, v FROM scored s JOIN v USING (id) WHERE clock_us IS NOT NULL), e AS (SELECT l.id AS a, r.id AS b FROM n l JOIN n r ON l.tier = r.tier AND l.aware = r.aware AND l.id <> r.id WHERE abs(l.clock_us - r.clock_us) <= 14400000000 AND 0.3 * greatest(0, 1 - list_cosine_similarity(l.v, r.v)) + 0.7 * abs(l.clock_us - r.clock_us) / 14400000000 <= 0.35), c(id, m) AS (SELECT id, id FROM n UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id) SELECT c.id, CASE WHEN c.id IN (SELECT a FROM e) THEN min(m) END AS cluster FROM c GROUP BY c.id",
-    "export_manifest": None,
+    "event_representatives": _HS + _RANKED + f""", o2 AS (SELECT fs.*, row_number() OVER (PARTITION BY {_K} ORDER BY abs(clock_us - m), quality DESC, id) AS rn FROM fs JOIN (SELECT {_K}, median(clock_us) AS m FROM fs GROUP BY ALL) USING ({_K})),
+ a1 AS (SELECT * FROM o2 WHERE rn = 1), a2 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) WHERE {_APART.format(y="a1")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1),
+ a3 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) JOIN a2 USING ({_K}) WHERE {_APART.format(y="a1")} AND {_APART.format(y="a2")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1)
+ SELECT {_K}, CAST(1 AS INT) AS rank, id FROM a1 UNION ALL SELECT {_K}, 2, id FROM a2 UNION ALL SELECT {_K}, 3, id FROM a3""",
+    "explained": _HS + _RANKED + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY 0.6 * quality + 0.35 * representation + 0.05 * uniqueness DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS raw_rank FROM ctx) SELECT id, raw_rank, concat_ws('; ', CASE WHEN quality < 0.2 THEN 'Low technical score: no bonus for uniqueness or coverage' END, CASE WHEN sharpness < 0.2 THEN 'Low sharpness, which may be intended' END, CASE WHEN exposure < 0.4 THEN 'Exposure far from the middle, which low light may explain' END, CASE WHEN representation < 0.35 THEN 'Unlike its context: no bonus for uniqueness' END) AS weak_points, CAST(6 AS INT) AS reasons FROM r WHERE raw_rank <= 3",
+    "export_manifest": _HS + _RANKED + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY quality DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS rank FROM ctx) SELECT CASE WHEN doc_id % 13 = 0 THEN '=' ELSE '/lib/' END || filename AS source_path, filename AS source_name, rank, CASE WHEN tier <> 'filesystem' THEN tier || ':' || segment_start ELSE 'Unassigned' END AS event, round(quality, 6) AS technical_quality_v1, CASE WHEN doc_id % 7 = 0 THEN 'favorite' ELSE 'unmarked' END AS user_label FROM r WHERE rank <= 2",
+    "shortlist_per_event": _HS + _RANKED + f""", lo AS (SELECT {_K}, min(clock_us) AS lo, max(clock_us) AS hi FROM fs GROUP BY ALL),
+ q AS (SELECT *, 0.6 * quality + 0.35 * representation + 0.05 * uniqueness AS score, least(3, floor(4 * ((clock_us - lo) / 1e6) / ((hi - lo) / 1e6 + 1))) AS region FROM ctx JOIN lo USING ({_K})),
+ r AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY score DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS raw_rank, CASE WHEN quality >= 0.2 THEN 0.05 ELSE 0 END AS bonus FROM q),
+ c1 AS (SELECT *, score + bonus AS v FROM r QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY score + bonus DESC, raw_rank, id) = 1),
+ s2 AS (SELECT x.*, {_SIM.format(y="c1")} AS sim, CASE WHEN x.region <> c1.region THEN x.bonus ELSE 0 END AS b2, c1.region AS r1 FROM r x JOIN c1 USING ({_K}) WHERE x.id <> c1.id AND coalesce(x.sha256 <> c1.sha256, true)),
+ c2 AS (SELECT *, score - 0.25 * sim + b2 AS v FROM s2 QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY score - 0.25 * sim + b2 DESC, raw_rank, id) = 1),
+ s3 AS (SELECT x.*, greatest(x.sim, {_SIM.format(y="c2")}) AS sim2, CASE WHEN x.region <> x.r1 AND x.region <> c2.region THEN x.bonus ELSE 0 END AS b3 FROM s2 x JOIN c2 USING ({_K}) WHERE x.id <> c2.id AND coalesce(x.sha256 <> c2.sha256, true)),
+ c3 AS (SELECT *, score - 0.25 * sim2 + b3 AS v FROM s3 QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY score - 0.25 * sim2 + b3 DESC, raw_rank, id) = 1)
+ SELECT {_K}, CAST(1 AS INT) AS rank, id, round(v, 5) AS selection_score FROM c1 UNION ALL SELECT {_K}, 2, id, round(v, 5) FROM c2 UNION ALL SELECT {_K}, 3, id, round(v, 5) FROM c3""",
 }
 ORACLES["dbscan_events"] = ORACLES["dbscan_events"].replace("WITH ", "WITH RECURSIVE ", 1)
-del ORACLES["export_manifest"]
