@@ -130,7 +130,7 @@ def indexes(benchmark: DataFrame):
     """An index for each block of about ITEMS items, so that what is sent to the executors at once is bounded."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     blocks = -(-rows.count() // ITEMS)
-    hashed = map_rows(rows, lambda r: {"item_id": r["item_id"], "shingles": [np.unique(shingle_row(t)).tobytes() for t in r["text"]]}, "item_id long, shingles binary")
+    hashed = map_rows(rows, lambda r: {"item_id": r["item_id"], "shingles": [np.unique(shingle_row(t)).tobytes() for t in r["text"]]}, "item_id long, shingles binary").distinct()  # an item that is repeated counts once
     for k in range(blocks):
         some = hashed.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == k).collect()
         yield Index(sorted(((r.item_id, np.frombuffer(r.shingles, U64)) for r in some), key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes())))

@@ -247,7 +247,9 @@ def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold
     survivors = materialize(spark, survivors, "jaccard-candidates")
     free_shuffles(spark)
     # sorted and merged at every size: a broadcast of the candidates would end where they outgrow it
-    found = survivors.hint("merge").join(documents.select(F.col("doc_id").alias("rep"), "text"), "rep").withColumn("part", part)
+    # and an id that is repeated comes once, with its smallest text
+    texts_of = documents.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+    found = survivors.hint("merge").join(texts_of, "rep").withColumn("part", part)
     links = materialize(spark, found.groupBy("part").applyInArrow(_verified(width, threshold), "rep long, links long, anchor long"), "jaccard-links")
     discard(spark, survivors)
     free_shuffles(spark)

@@ -118,8 +118,11 @@ def place(lengths, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(found: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Ties in length go by id, piece and checksum; repeated rows are packed each."""
-    grouped = found.withColumn("group", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups)))
+    """Adds sequence_id and offset to pieces. Ties in length go by id, piece and checksum; repeated rows are packed each.
+
+    Pieces are dealt to the groups by their place in the input, so no id fills a group.
+    """
+    grouped = found.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     kind = found.schema.simpleString()[len("struct<") : -1].replace(":", " ")
 
     def run(key, t):

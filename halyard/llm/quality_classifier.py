@@ -73,12 +73,13 @@ def fit_ftrl(rows, dimensions: int = DIMENSIONS, alpha: float = 0.5, beta: float
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, limit: int) -> DataFrame:
     """At most `limit` labelled rows outside the held-out fold, in the order of a hash of their id.
 
-    The bound is a parameter of the fit; scoring has none. Contradictory or repeated labels all count;
-    null ids, labels and texts are left out of the fit.
+    The bound is a parameter of the fit; scoring has none. Contradictory labels both count; an id that is repeated
+    gives its smallest text, so that the sample stays bounded; null ids, labels and texts are left out of the fit.
     """
     known = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1) & ~held_out_column("doc_id", mod))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    found = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.distinct()), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, limit: int = TRAIN_ROWS, dimensions: int = DIMENSIONS) -> np.ndarray:

@@ -109,7 +109,7 @@ def fit(documents: DataFrame, limit: int = TRAIN_ROWS) -> crf.Model:
     Without documents the model calls every line content.
     """
     chosen = documents.select("doc_id", "text").where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").where(F.col("text").isNotNull())
+    sample = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def hashed(rows):
         out = {"key": [], "lines": [], "features": [], "labels": []}
