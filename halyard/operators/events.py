@@ -58,7 +58,10 @@ def segments(df: DataFrame, gap_us: int = GAP_US, span_us: int = SPAN_US) -> Dat
 
 
 def records(members: DataFrame, key: list[str]) -> DataFrame:
-    """id, n, first and last member by (clock, id), start and end texts for each group, named in order of start and id."""
+    """id, n, first and last member by (clock, id), start and end texts for each group, named in order of start and id.
+
+    The order is over events only, whose number is bounded by the time that the clocks span.
+    """
     order = F.struct("clock_us", "id")
     found = members.groupBy(*key).agg(
         F.concat(F.lit("auto-"), texts.group_signature(F.collect_list(F.struct("id", "fingerprint")))).alias("event_id"),

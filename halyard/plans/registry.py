@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, learning, media, timeline
+from . import features, learning, media, stored, timeline
 
-MODULES = [features, timeline, learning, media]
+MODULES = [features, timeline, learning, media, stored]
 
 
 def queries() -> dict:

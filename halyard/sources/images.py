@@ -104,3 +104,31 @@ def _tags(block: bytes, order: str, at: int) -> dict:
             raw = entry[8 : 8 + count] if count <= 4 else block[start : start + count]
             out[tag] = raw.split(b"\0")[0].decode("ascii", "replace")
     return out
+
+
+def dimensions(data: bytes) -> tuple[int, int] | None:
+    """(width, height) that the header of a JPEG, PNG or WEBP states, before anything is decoded; else null."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack(">II", data[16:24])
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
+                return w, h
+            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    if data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8X" and len(data) >= 30:
+        return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+    return None
+
+
+def too_large(files: DataFrame, most: int = 80_000_000) -> DataFrame:
+    """path, width, height of files (path, content) whose header states more than `most` pixels; they need not be decoded."""
+    kind = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            found = [(r["path"], dimensions(r["content"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist([{"path": p, "width": d[0], "height": d[1]} for p, d in found if d and d[0] * d[1] > most], kind)
+
+    return files.select("path", "content").mapInArrow(run, "path string, width int, height int")
