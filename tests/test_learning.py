@@ -113,3 +113,13 @@ def test_incremental_store(spark, tmp_path):
     assert {r.id for r in incremental.missing(df, df.where("id = '1'"), ["id", "fingerprint"]).collect()} == {"2"}
     with pytest.raises(ValueError):
         incremental.parameter_hash({"x": float("nan")})
+
+
+def test_feedback_log(spark):
+    log = spark.createDataFrame(
+        [("p", 1, "save", "a"), ("p", 2, "correct", "b"), ("p", 3, "undo", None), ("q", 1, "save", "a"), ("q", 2, "undo", None), ("r", 1, "save", "a"), ("r", 2, "reset", None), ("r", 3, "save", "tie"), ("s", 1, "save", "a"), ("s", 2, "undo", None), ("s", 3, "save", "b"), ("s", 4, "correct", "a"), ("s", 5, "correct", "b"), ("s", 6, "undo", None)],
+        "pair_key string, sequence int, action string, choice string",
+    )
+    assert {(r.pair_key, r.choice) for r in preferences.feedback_state(log, ["pair_key"]).collect()} == {("p", "a"), ("r", "tie"), ("s", "a")}
+    fresh = spark.createDataFrame([("p", "a", False, "g", "g", "train", "train"), ("p", "a", True, "g", "g", "train", "train"), ("q", "a", False, "g", "h", "train", "train"), ("z", "?", False, "g", "g", "train", "train"), ("q", "b", False, "g", "g", "train", "train")], "pair_key string, choice string, repeat boolean, group_a string, group_b string, partition_a string, partition_b string")
+    assert {(r.pair_key, r.why) for r in preferences.refused(log, fresh).collect()} == {("p", "judged before"), ("q", "different groups"), ("z", "no such choice")}
