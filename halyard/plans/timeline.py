@@ -167,7 +167,7 @@ ORACLES = {
     "connected_components": _S + ", e AS (SELECT a.id AS u, b.id AS v FROM asset a JOIN asset b ON a.sha256 = b.sha256 AND a.id <> b.id UNION SELECT a.id, b.id FROM seg a JOIN seg b ON a.tier = b.tier AND a.aware = b.aware AND a.segment_start = b.segment_start AND a.id <> b.id WHERE a.tier = 'exif_naive'), c(id, m) AS (SELECT id, id FROM asset UNION SELECT e.v, c.m FROM c JOIN e ON e.u = c.id) SELECT id, min(m) AS component FROM c GROUP BY id",
     "rank_a": _rank_sql("quality"),
     "rank_b": _rank_sql("(0.6 * quality + 0.35 * representation + 0.05 * uniqueness)"),
-    "coverage_bins": A + ", l AS (SELECT lang, min(clock_us) AS lo, max(clock_us) AS hi FROM scored GROUP BY lang) SELECT id, lang, coalesce(CAST(CAST(least(3, floor(4 * ((clock_us - lo) / 1e6) / ((hi - lo) / 1e6 + 1))) AS BIGINT) AS VARCHAR), 'unknown') AS region FROM scored JOIN l USING (lang)",
+    "coverage_bins": A + ", l AS (SELECT lang, min(clock_us) AS lo, max(clock_us) AS hi FROM scored GROUP BY lang) SELECT id, lang, CASE WHEN clock_us IS NULL THEN 'unknown' ELSE CAST(CAST(least(3, floor(4 * ((clock_us - lo) / 1e6) / ((hi - lo) / 1e6 + 1))) AS BIGINT) AS VARCHAR) END AS region FROM scored JOIN l USING (lang)",
     "dbscan_events": A + ", v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT s.id, tier, aware, clock_us, v FROM scored s JOIN v USING (id) WHERE clock_us IS NOT NULL), e AS (SELECT l.id AS a, r.id AS b FROM n l JOIN n r ON l.tier = r.tier AND l.aware = r.aware AND l.id <> r.id WHERE abs(l.clock_us - r.clock_us) <= 14400000000 AND 0.3 * greatest(0, 1 - list_cosine_similarity(l.v, r.v)) + 0.7 * abs(l.clock_us - r.clock_us) / 14400000000 <= 0.35), c(id, m) AS (SELECT id, id FROM n UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id) SELECT c.id, CASE WHEN c.id IN (SELECT a FROM e) THEN min(m) END AS cluster FROM c GROUP BY c.id",
     "event_representatives": _HS + _RANKED + f""", o2 AS (SELECT fs.*, row_number() OVER (PARTITION BY {_K} ORDER BY abs(clock_us - m), quality DESC, id) AS rn FROM fs JOIN (SELECT {_K}, median(clock_us) AS m FROM fs GROUP BY ALL) USING ({_K})),
  a1 AS (SELECT * FROM o2 WHERE rn = 1), a2 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) WHERE {_APART.format(y="a1")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1),

@@ -75,3 +75,8 @@ def test_csv_guard(spark, tmp_path):
     assert {r["source_path"] for r in found} == {"'=1+1", "/p"} and {r["event"] for r in found} == {"a", "Unassigned"}
     with pytest.raises(ValueError):
         exports.export(df, path, "xml")
+
+
+def test_rows_without_a_clock_have_no_region(spark):
+    df = spark.createDataFrame([("x", "a", 0), ("x", "b", 10**9), ("x", "c", None), ("y", "d", None)], "k string, id string, clock_us long")
+    assert {r.id: r.region for r in ranking.coverage_bins(df, ["k"]).collect()} == {"a": "0", "b": "3", "c": "unknown", "d": "unknown"}
