@@ -27,7 +27,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 USERINFO = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+[^\s<>\"']*")
 IBAN = re.compile(r"[\s:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|#))?\s{0,2}[:=#]?\s{0,2}([0-9][0-9-]{4,32}[0-9])(?![0-9A-Za-z])", re.IGNORECASE)
-SECRET = re.compile(r"\"?\s{0,3}[:=]\s{0,3}([\"']?)([A-Za-z0-9+/_=.~-]{16,512})\1")
+SECRET = re.compile(r"\"?\s{0,3}[:=]\s{0,3}([\"']?)(?=[A-Za-z0-9+/_=.~-]{16})")
+VALUE = re.compile(r"[A-Za-z0-9+/_=.~-]+")
 
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
 CUES = {"iban": "iban", "account": "account", "acct": "account", "token": "secret", "api_key": "secret", "apikey": "secret", "api-key": "secret", "secret": "secret", "password": "secret", "passwd": "secret"}
@@ -77,7 +78,8 @@ class Finder:
             return []
         out: list[tuple[int, int, int]] = []
         email = ip = card = phone = other = 0  # ends of the last match of each kind
-        last_digit = -2
+        value = 0  # end of the last secret's value, which may hold more cues and is walked once, however long
+        last_digit = value_digit = -2
         for at, (kind, width) in self.automaton.iter(text):
             p = at - width + 1
             if kind == "digit":
@@ -108,9 +110,13 @@ class Finder:
                         other = m.end()
                         out.append((p, 4, other))
                 elif kind == "secret":
-                    if (m := SECRET.match(text, at + 1)) and re.search("[0-9]", m[2]):
-                        other = m.end(2)
-                        out.append((m.start(2), 6, other))
+                    if m := SECRET.match(text, at + 1):
+                        if m.end() >= value:
+                            value = VALUE.match(text, m.end()).end()
+                            value_digit = next((i for i in range(value - 1, m.end() - 1, -1) if "0" <= text[i] <= "9"), -2)
+                        if value_digit >= m.end() and (not m[1] or text[value : value + 1] == m[1]):
+                            other = value
+                            out.append((m.end(), 6, other))
                 elif (m := (IBAN if kind == "iban" else ACCOUNT).match(text, at + 1)) and (kind != "iban" or _iban(m[1])):
                     other = m.end(1)
                     out.append((m.start(1), 5, other))

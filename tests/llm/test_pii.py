@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from halyard.llm import pii
 
@@ -46,6 +47,21 @@ def test_added_kinds_and_redaction():
     assert pii.redact("clean", find("clean")) == "clean" and pii.redact(None, find(None)) is None
 
 
+def test_secrets_of_any_length_go_whole():
+    find = pii.finder().spans
+    value = "eyJhbGciOi4x" * 400
+    for text in (f"token={value} end", f'token = "{value}" end', f"api_key: '{value}' end"):
+        start = text.index(value)
+        assert find(text) == [(start, 6, start + len(value))]
+        assert "eyJ" not in pii.redact(text, find(text))
+    assert find(f'token="{value} end') == [] and find("token=" + "x" * 800) == []
+    # a long run full of cues is walked once, not once for each cue
+    before = time.process_time()
+    assert find("token=" * 50_000) == []
+    assert len(find("token=" * 50_000 + "1")) == 1
+    assert time.process_time() - before < 10
+
+
 def test_query_shape(spark):
     rows = [(1, "a@b.co", "x"), (1, "a@b.co", "x"), (None, None, None), (3, "", "y"), (4, "z " * 50000 + "+1 (017) 555-7713", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_email string")
