@@ -36,12 +36,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of the documents that chains of links or equal texts join, the one with the smallest id stays.
 
-    Rows without an id stay if no row of their group has one, one for each group; of rows that repeat an id one stays.
+    Rows without an id stay if no row of their group has one, one for each group. Groups are of texts: rows that repeat
+    an id with different texts are different documents, and of a group's rows with its smallest id one stays.
     """
-    key = "halyard group key"
-    keyed = docs.withColumn(key, jaccard_join.known_id())
-    first = jaccard_join.classes(spark, jaccard_join.identified(docs)).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(first.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = ["halyard group key", "halyard text key"]
+    keyed = docs.withColumns({key[0]: jaccard_join.known_id(), key[1]: jaccard_join.digest()})
+    _, by_text = jaccard_join.classes(spark, jaccard_join.identified(docs))
+    first = by_text.where("least").select(F.col("copy_id").alias(key[0]), F.col("digest").alias(key[1]))
+    return keyed.join(first.hint("merge"), key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

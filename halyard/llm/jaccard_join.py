@@ -8,7 +8,6 @@ Large bands are worked on in pairs of blocks, and what leaves a block are counts
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
 from math import comb
 
@@ -91,14 +90,19 @@ def identified(documents: DataFrame) -> DataFrame:
     return documents.select(known_id().alias("doc_id"), "text")
 
 
+def digest():
+    """128 bits of the text; a null one counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def signed(documents: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, digest of the text, and its signature (null without words)."""
 
     def run(rows):
         found = [shingles(t, width) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "digest": [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in rows["text"]], "sig": [signature(x).tolist() if len(x) else None for x in found]}
+        return {"doc_id": rows["doc_id"], "digest": rows["digest"], "sig": [signature(x).tolist() if len(x) else None for x in found]}
 
-    return map_rows(documents.select("doc_id", "text"), run, "doc_id long, digest binary, sig array<long>")
+    return map_rows(documents.select("doc_id", "text", digest().alias("digest")), run, "doc_id long, digest binary, sig array<long>")
 
 
 def _sigs(column) -> np.ndarray:
@@ -189,14 +193,14 @@ def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: flo
 
 
 def _verified(width: int, threshold: float):
-    kind = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("anchor", pa.int64())])
+    kind = pa.schema([(c, pa.int64()) for c in ("rep", "copy_id", "links", "anchor", "anchor_id")])
 
     def run(key, t):
         t = t.sort_by([("gid", "ascending"), ("rep", "ascending")])
-        gid, rep = t.column("gid").to_numpy(), t.column("rep").to_numpy()
+        gid, rep, doc = (t.column(c).to_numpy() for c in ("gid", "rep", "copy_id"))
         partners, texts = t.column("partners"), t.column("text")
         cuts = np.append(np.flatnonzero(np.append(True, gid[1:] != gid[:-1])), len(gid))
-        out = {"rep": [], "links": [], "anchor": []}
+        out = {c: [] for c in kind.names}
         for a, b in zip(cuts[:-1], cuts[1:]):
             ids, first = np.unique(rep[a:b], return_index=True)  # a row that is repeated counts once
             wanted = [partners[int(a + k)].as_py() for k in first]
@@ -218,18 +222,26 @@ def _verified(width: int, threshold: float):
                 parent[max(x, y)] = min(x, y)
             for k in np.flatnonzero(links):
                 out["rep"].append(int(ids[k]))
+                out["copy_id"].append(int(doc[a + first[k]]))
                 out["links"].append(int(links[k]))
                 out["anchor"].append(int(ids[top(k)]))
+                out["anchor_id"].append(int(doc[a + first[top(k)]]))
         return pa.Table.from_pydict(out, kind)
 
     return run
 
 
-def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """The join over identified() documents: doc_id, class_id, copy_id, n_copies, n_links, without nulls."""
+def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The join over identified() documents: doc_id and digest of each row, and for each text its digest, class_id,
+    copy_id, n_copies, n_links, without nulls, and least: whether it stands for its class.
+
+    A text, not an id, is what is compared: rep numbers the texts. The least text of a class has its smallest id (and
+    of several with that id the smallest number), so classes that share their smallest id stay apart.
+    """
     groups = groups_for(documents, BUCKET_BYTES, 64)
     docs = materialize(spark, signed(documents, width), "jaccard-signatures")
-    reps = materialize(spark, docs.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.any_value("sig").alias("sig")), "jaccard-classes")
+    reps = docs.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.any_value("sig").alias("sig"))
+    reps = materialize(spark, reps.withColumn("rep", F.monotonically_increasing_id()), "jaccard-classes")  # numbered once, as it is written
     texts = reps.where(F.col("sig").isNotNull())
     bands = texts.select("rep", F.posexplode("sig").alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
@@ -247,16 +259,17 @@ def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold
     survivors = materialize(spark, survivors, "jaccard-candidates")
     free_shuffles(spark)
     # sorted and merged at every size: a broadcast of the candidates would end where they outgrow it
-    # and an id that is repeated comes once, with its smallest text
-    texts_of = documents.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
-    found = survivors.hint("merge").join(texts_of, "rep").withColumn("part", part)
-    links = materialize(spark, found.groupBy("part").applyInArrow(_verified(width, threshold), "rep long, links long, anchor long"), "jaccard-links")
+    # and a text that is repeated comes once
+    texts_of = documents.select(digest().alias("digest"), "text").groupBy("digest").agg(F.min("text").alias("text"))
+    found = survivors.hint("merge").join(texts.select("rep", "digest", "copy_id"), "rep").hint("merge").join(texts_of, "digest").select("gid", "rep", "copy_id", "partners", "text", part.alias("part"))
+    links = materialize(spark, found.groupBy("part").applyInArrow(_verified(width, threshold), "rep long, copy_id long, links long, anchor long, anchor_id long"), "jaccard-links")
     discard(spark, survivors)
     free_shuffles(spark)
     n_links = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    least = components(links.select(F.col("rep").alias("u"), F.col("anchor").alias("v")), 0).select(F.col("u").alias("rep"), F.col("v").alias("class_id"))
-    by_text = reps.select("digest", "rep", "n_copies").join(n_links, "rep", "left").join(least, "rep", "left")
-    return docs.select("doc_id", "digest").join(by_text, "digest").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    node = lambda doc, rep: F.struct(F.col(doc).alias("doc"), F.col(rep).alias("rep"))
+    least = components(links.select(node("copy_id", "rep").alias("u"), node("anchor_id", "anchor").alias("v")), 0).select(F.col("u.rep").alias("rep"), F.col("v.doc").alias("class_id"), F.lit(False).alias("least"))
+    by_text = reps.select("digest", "rep", "copy_id", "n_copies").join(n_links, "rep", "left").join(least, "rep", "left")
+    return docs.select("doc_id", "digest"), by_text.select("digest", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("least", F.lit(True)).alias("least"))
 
 
 def join(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
@@ -265,10 +278,11 @@ def join(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: f
 
     Shingles are runs of `width` words in lower case (A-Z); shorter texts have one of all their words; null and empty
     texts are copies of each other and have no links. class_id and copy_id are null where no row of theirs has an id.
-    An id stands for one document: rows of one id with different texts share their links. Other columns are not read.
+    Rows of one id with different texts are different documents: each has the links of its own text. Other columns are not read.
     """
     known = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
-    return classes(spark, identified(documents), width, threshold).select(known("doc_id"), known("class_id"), known("copy_id"), "n_copies", "n_links")
+    docs, by_text = classes(spark, identified(documents), width, threshold)
+    return docs.join(by_text, "digest").select(known("doc_id"), known("class_id"), known("copy_id"), "n_copies", "n_links")
 
 
 def op6_jaccard_join(spark, sf_dir):

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from halyard.llm import crf, decontamination, jaccard_join, quality_classifier, quality_rules, substrings, toxicity, warc
 from halyard.llm.common import fresh_path
 
@@ -90,6 +91,19 @@ def test_jaccard_join(spark, block, monkeypatch):
     assert got == {i: (least(sets[t][0]), sets[t][0], len(links.get(sets[t][0], ()))) for i, t in rows}
 
 
+def test_jaccard_join_of_a_repeated_id(spark):
+    """An id with several texts, the smallest of more than one class: each text keeps its own links and class."""
+    text = lambda w, k: " ".join(f"{w}{i}" if i != k else "q" for i in range(120))
+    rows = [(1, text(w, -1)) for w in "abc"] + [(k + 2, text(w, 60)) for k, w in enumerate("abc")] + [(1, text("d", -1)), (1, text("e", -1)), (9, text("e", -1)), (None, text("b", 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs, by_text = jaccard_join.classes(spark, jaccard_join.identified(df))
+    assert docs.count() == len(rows) and by_text.where("least").count() == 5
+    got = sorted((r.doc_id or 0, r.class_id, r.copy_id or 0, r.n_copies, r.n_links) for r in jaccard_join.join(spark, df).collect())
+    assert got == sorted([(1, 1, 1, 1, 1), (1, 1, 1, 1, 2), (1, 1, 1, 1, 1), (2, 1, 2, 1, 1), (3, 1, 3, 1, 2), (4, 1, 4, 1, 1), (1, 1, 1, 1, 0), (1, 1, 1, 2, 0), (9, 1, 1, 2, 0), (0, 1, 0, 1, 2)])
+    kept = corpus_pipeline.one_of_each_group(spark, df, "").collect()
+    assert sorted(tuple(r) for r in kept) == sorted((1, text(w, -1)) for w in "abcde")
+
+
 def test_pruning_keeps_similar_pairs():
     limits = jaccard_join.least_matches()
     assert [n for n, _ in limits] == [32, 64, 96, 128] and limits[-1][1] > 64
