@@ -103,9 +103,9 @@ def detection_statistics(spark, sf_dir):
 
 
 def hybrid_recovery(spark, sf_dir):
-    """Pairs that only their vectors (here the hashes again) show to be near."""
+    """Pairs that only their vectors (here the hashes again) show to be near, of all rows; its SQL has those without an EXIF clock."""
     strict = dataclasses.replace(WIDE, phash=1, recovery_cosine=0.7, recovery_correlation=0.7, recovery_hash=24)
-    rows = verified(hashed(spark, sf_dir)).withColumn("vector", F.col("gray")).where("tier <> 'exif_timezone' AND tier <> 'exif_naive'")
+    rows = verified(hashed(spark, sf_dir)).withColumn("vector", F.col("gray"))
     found = candidates.hamming_pairs(rows, strict.recovery_phash).select("a", "b")
     return evidence.compared(found, rows, strict).where("recovered").select("a", "b", "phash", "reliability", "relationship")
 
