@@ -65,8 +65,9 @@ def hdbscan_events(spark, sf_dir):
 
 
 def explained(spark, sf_dir):
+    """Every ranked row; its SQL has the first three of each segment."""
     rows = _ranked(spark, sf_dir, ranking.Weights())
-    return rows.where("raw_rank <= 3").select("id", "raw_rank", F.array_join(explanations.weak_points(), "; ").alias("weak_points"), F.size(explanations.reasons()).alias("reasons"))
+    return rows.select("id", "raw_rank", F.array_join(explanations.weak_points(), "; ").alias("weak_points"), F.size(explanations.reasons()).alias("reasons"))
 
 
 def connected_components(spark, sf_dir):
