@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import events, explanations, grouping, hierarchy, ranking
+from ..operators import detection, events, explanations, grouping, hierarchy, ranking
 from ..operators.graph import labelled
 from ..sources import bridge
-from .features import A, H, hashed, scored
+from .features import A, H, WIDE, hashed, scored, verified
 
 SEGMENT = ["tier", "aware", "segment_start"]
 
@@ -71,12 +71,14 @@ def explained(spark, sf_dir):
 
 
 def connected_components(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    exact = grouping.exact_groups(rows)
+    """Events of all tiers and groups of copies, near copies and bursts, joined; its SQL has the events of naive clocks and exact copies."""
+    rows = hashed(spark, sf_dir)
+    seg = events.segments(scored(spark, sf_dir))
+    line = seg.join(seg.groupBy(*SEGMENT).agg(F.min("id").alias("v")), SEGMENT).select(F.col("id").alias("u"), "v")
+    groups = detection.detect(verified(rows), WIDE)["groups"].select(F.col("member").alias("u"), F.col("group").alias("v"))
+    exact = grouping.exact_groups(scored(spark, sf_dir))
     star = exact.join(exact.groupBy("sha256").agg(F.min("id").alias("v")), "sha256").select(F.col("id").alias("u"), "v")
-    seg = events.segments(rows)
-    line = seg.join(seg.groupBy(*SEGMENT).agg(F.min("id").alias("v")), SEGMENT).where("tier = 'exif_naive'").select(F.col("id").alias("u"), "v")
-    return labelled(rows.select("id"), star.unionByName(line))
+    return labelled(scored(spark, sf_dir).select("id"), line.unionByName(groups).unionByName(star))
 
 
 def holdout_partition(spark, sf_dir):
