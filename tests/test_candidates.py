@@ -122,3 +122,24 @@ def test_distributed_components_equal_the_walk(spark, monkeypatch):
     one = {tuple(r) for r in graph.components(edges).collect()}
     monkeypatch.setattr(graph, "SMALL", -1)
     assert {tuple(r) for r in graph.components(edges).collect()} == one
+
+
+def test_projection_windows_do_not_stop_at_cells(spark):
+    """The query's defaults, and many cells, against plain windows of 16 places and the recall of brute force."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 64))
+    df = spark.createDataFrame([(f"{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -2)
+    near = [set() for _ in x]
+    for line in candidates.projections(64):
+        order = np.argsort(unit @ line, kind="stable")
+        for k, i in enumerate(order):
+            near[i].update(order[max(0, k - 16) : k].tolist() + order[k + 1 : k + 17].tolist())
+    top = lambda i, some: sorted(some, key=lambda j: (-cosine[i, j], j))[:16]
+    expected = {(f"{min(i, j):03d}", f"{max(i, j):03d}") for i in range(300) for j in top(i, near[i])}
+    got = {(r.a, r.b) for r in candidates.projection_neighbours(df).collect()}
+    assert got == expected == {(r.a, r.b) for r in candidates.projection_neighbours(df, cells=40).collect()}
+    truth = {(f"{min(i, j):03d}", f"{max(i, j):03d}") for i in range(300) for j in top(i, range(300))}
+    assert len(got & truth) >= 0.5 * len(truth)
