@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Workspace, fresh_path, written  # noqa: F401
+
 U64 = np.uint64
 #: Texts are handed to the Python functions in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
@@ -23,54 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- shared storage
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="halyard-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/halyard/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(spark: SparkSession, df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, any executor may go."""
-    path = fresh_path(spark, tag)
-    out = df.write.option("compression", "zstd")
-    if partition_by:
-        out = out.partitionBy(partition_by)
-    out.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._halyard_path = path
-    return kept
-
-
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables of materialize() that nothing will read again."""
-    for df in frames:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._halyard_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs.
-
-    Its cleaner follows the driver's garbage collection; one collection alone leaves those of the last job,
-    which the listeners still know.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of the input (file sizes for tables), or its text's where the planner has none."""
     found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -115,6 +66,38 @@ def word_hashes(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), U64, len(ws))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Masks of the first 0 to 8 bytes, and the longest word that is hashed by lanes of 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LANES = 64
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the words in an array of bytes."""
+    inside = np.concatenate([[False], ~_BLANK[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at the spans, all at once; words of one length up to 8 bytes never collide."""
+    size = stops - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    at = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1))
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x2545F4914F6CDD1D))
+    long = size > LANES
+    for k in range(0, LANES, 8):
+        some = np.flatnonzero((size > k) & ~long)
+        if not len(some):
+            break
+        lane = at[starts[some] + k].view("<u8").ravel() & _FIRST[np.minimum(size[some] - k, 8)]
+        out[some] = mix(out[some] ^ (lane * U64(0xD6E8FEB86659FD93)))
+    for i in np.flatnonzero(long).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : stops[i]].tobytes())
+    return out
+
+
 def windows(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of `width` consecutive words."""
     n = len(hashes) - width + 1
@@ -170,7 +153,7 @@ def map_rows(df: DataFrame, function, schema: str, weigh: str | None = "text", m
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = [len(x or "") for x in batch.column(weigh).to_pylist()] if weigh else [0] * batch.num_rows
+            sizes = pc.coalesce(pc.binary_length(batch.column(weigh)), 0).to_pylist() if weigh else [0] * batch.num_rows
             for a, b in _slices(sizes, most):
                 part = batch.slice(a, b - a)
                 found = function({n: part.column(n).to_pylist() for n in part.schema.names})
@@ -179,5 +162,15 @@ def map_rows(df: DataFrame, function, schema: str, weigh: str | None = "text", m
     return df.mapInArrow(run, target)
 
 
+def text_parts(batches, column: str = "text", most: int = SLICE_BYTES):
+    """(part of a batch, its texts) in slices of about `most` bytes, so that few texts are Python strings at once."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        sizes = pc.coalesce(pc.binary_length(batch.column(at)), 0).to_pylist()
+        for a, b in _slices(sizes, most):
+            part = batch.slice(a, b - a)
+            yield part, part.column(at).to_pylist()
+
+
 def _array(values, kind):
     return values if isinstance(values, pa.Array) else pa.array(values, kind)

@@ -1,7 +1,7 @@
 """Operator 6: a self-join on the Jaccard similarity of word 5-grams, with Bayesian candidate pruning.
 
-Equal texts are one class. Class representatives that share a band of MinHash values are candidates, each pair in its
-first common band only. Their MinHash values are compared a few at a time; a pair goes when the posterior probability
+Equal texts are one class, and texts of equal shingle sets are compared as one. Sets that share a band of MinHash values
+are candidates, each pair in its first common band only. Their MinHash values are compared a few at a time; a pair goes when the posterior probability
 that it reaches the threshold falls below TOLERANCE. The rest are verified on their exact shingle sets.
 Large bands are worked on in pairs of blocks, and what leaves a block are counts and a spanning forest, not pairs.
 """
@@ -13,11 +13,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import U64, constants, discard, free_shuffles, groups_for, map_rows, materialize, shingles, table
+from .common import U64, Workspace, constants, groups_for, map_rows, shingles, table
 
 THRESHOLD = 0.8
 #: 32 bands of 4: at similarity 0.8 no band is shared with probability (1 - 0.8^4)^32, under 1e-7.
@@ -96,24 +97,24 @@ def digest():
 
 
 def signed(documents: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, digest of the text, and its signature (null without words)."""
+    """doc_id, digest of the text, 128 bits of its shingle set and the set's signature (null without words)."""
 
     def run(rows):
         found = [shingles(t, width) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "digest": rows["digest"], "sig": [signature(x).tolist() if len(x) else None for x in found]}
+        return {"doc_id": rows["doc_id"], "digest": rows["digest"], "shingles": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found], "sig": [signature(x).tolist() if len(x) else None for x in found]}
 
-    return map_rows(documents.select("doc_id", "text", digest().alias("digest")), run, "doc_id long, digest binary, sig array<long>")
+    return map_rows(documents.select("doc_id", "text", digest().alias("digest")), run, "doc_id long, digest binary, shingles binary, sig array<long>")
 
 
 def _sigs(column) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
 
 
-SURVIVORS = "gid long, rep long, partners array<long>"
+SURVIVORS = "part long, gid long, rep long, partners array<long>"
 
 
 def _survivors(limits):
-    kind = pa.schema([("gid", pa.int64()), ("rep", pa.int64()), ("partners", pa.list_(pa.int64()))])
+    kind = pa.schema([("part", pa.int64()), ("gid", pa.int64()), ("rep", pa.int64()), ("partners", pa.list_(pa.int64()))])
 
     def run(key, t):
         t = t.sort_by([("gid", "ascending"), ("rep", "ascending")])
@@ -164,7 +165,7 @@ def _survivors(limits):
                 flush()
                 waiting = 0
         flush()
-        return pa.Table.from_pydict(out, kind)
+        return pa.Table.from_pydict({"part": [key[0].as_py()] * len(out["gid"]), **out}, kind)
 
     return run
 
@@ -192,23 +193,28 @@ def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: flo
     return both / (n[i] + n[j] - both) >= threshold
 
 
+LINKS = "digest binary, copy_id long, links long, anchor binary, anchor_id long"
+
+
 def _verified(width: int, threshold: float):
-    kind = pa.schema([(c, pa.int64()) for c in ("rep", "copy_id", "links", "anchor", "anchor_id")])
+    kind = pa.schema([("digest", pa.binary()), ("copy_id", pa.int64()), ("links", pa.int64()), ("anchor", pa.binary()), ("anchor_id", pa.int64())])
 
     def run(key, t):
         t = t.sort_by([("gid", "ascending"), ("rep", "ascending")])
-        gid, rep, doc = (t.column(c).to_numpy() for c in ("gid", "rep", "copy_id"))
-        partners, texts = t.column("partners"), t.column("text")
+        gid, rep, doc, many = (t.column(c).to_numpy() for c in ("gid", "rep", "copy_id", "n_texts"))
+        partners, texts, digests = t.column("partners"), t.column("text"), t.column("digest")
         cuts = np.append(np.flatnonzero(np.append(True, gid[1:] != gid[:-1])), len(gid))
         out = {c: [] for c in kind.names}
         for a, b in zip(cuts[:-1], cuts[1:]):
             ids, first = np.unique(rep[a:b], return_index=True)  # a row that is repeated counts once
-            wanted = [partners[int(a + k)].as_py() for k in first]
+            first += a
+            wanted = [partners[int(k)].as_py() for k in first]
             i = np.repeat(np.arange(len(ids)), [len(x) for x in wanted])
             j = np.searchsorted(ids, np.array([x for p in wanted for x in p], np.int64))
-            good = similar([shingles(texts[int(a + k)].as_py(), width) for k in first], i, j, threshold)
+            good = similar([shingles(texts[int(k)].as_py(), width) for k in first], i, j, threshold)
             i, j = i[good], j[good]
-            links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            times = many[first]
+            links = np.bincount(i, times[j], len(ids)) + np.bincount(j, times[i], len(ids))
             parent = list(range(len(ids)))
 
             def top(x):
@@ -221,55 +227,62 @@ def _verified(width: int, threshold: float):
                 x, y = top(x), top(y)
                 parent[max(x, y)] = min(x, y)
             for k in np.flatnonzero(links):
-                out["rep"].append(int(ids[k]))
-                out["copy_id"].append(int(doc[a + first[k]]))
-                out["links"].append(int(links[k]))
-                out["anchor"].append(int(ids[top(k)]))
-                out["anchor_id"].append(int(doc[a + first[top(k)]]))
+                at, to = int(first[k]), int(first[top(k)])
+                for name, value in zip(out, (digests[at].as_py(), int(doc[at]), int(links[k]), digests[to].as_py(), int(doc[to]))):
+                    out[name].append(value)
         return pa.Table.from_pydict(out, kind)
 
     return run
 
 
-def classes(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def classes(workspace: Workspace, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """The join over identified() documents: doc_id and digest of each row, and for each text its digest, class_id,
     copy_id, n_copies, n_links, without nulls, and least: whether it stands for its class.
 
-    A text, not an id, is what is compared: rep numbers the texts. The least text of a class has its smallest id (and
-    of several with that id the smallest number), so classes that share their smallest id stay apart.
+    A text, not an id, is what is compared; texts of one shingle set are at similarity 1, so sets are compared, and a
+    link between sets counts for each of their texts. The least text of a class has its smallest id, and of several with
+    that id the smallest digest, so classes that share their smallest id stay apart and no row order matters.
     """
     groups = groups_for(documents, BUCKET_BYTES, 64)
-    docs = materialize(spark, signed(documents, width), "jaccard-signatures")
-    reps = docs.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.any_value("sig").alias("sig"))
-    reps = materialize(spark, reps.withColumn("rep", F.monotonically_increasing_id()), "jaccard-classes")  # numbered once, as it is written
-    texts = reps.where(F.col("sig").isNotNull())
-    bands = texts.select("rep", F.posexplode("sig").alias("band", "value"))
+    docs = workspace.table(signed(documents, width), "signatures")
+    texts = docs.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.any_value("shingles").alias("shingles"), F.any_value("sig").alias("sig"))
+    texts = workspace.table(texts, "texts")
+    sets = texts.where(F.col("sig").isNotNull()).groupBy("shingles").agg(F.count("*").alias("n_texts"), F.min(F.struct("copy_id", "digest")).alias("first"), F.any_value("sig").alias("sig"))
+    sets = workspace.table(sets.select("shingles", "n_texts", "first.copy_id", "first.digest", "sig", F.monotonically_increasing_id().alias("rep")), "sets")  # numbered once, as it is written
+    bands = sets.select("rep", F.posexplode("sig").alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     # a row goes to each pair of its block and another (x, y); side -1: the block with itself
+    gid = F.xxhash64("band", "value", F.least("x", "y"), F.greatest("x", "y"))
     blocked = (
         bands.join(shared, ["band", "value"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         .withColumn("x", F.pmod(F.xxhash64("rep", "value"), "blocks"))
         .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("rep", "band", F.xxhash64("band", "value", F.least("x", "y"), F.greatest("x", "y")).alias("gid"), F.signum(F.col("x") - F.col("y")).cast("int").alias("order"))
-        .select("rep", "band", "gid", F.when(F.col("order") == 0, -1).when(F.col("order") < 0, 0).otherwise(1).alias("side"))
+        .select("rep", "band", gid.alias("gid"), F.signum(F.col("x") - F.col("y")).cast("int").alias("order"), (F.col("blocks") > 1).alias("large"))
+        .withColumn("side", F.when(F.col("order") == 0, -1).when(F.col("order") < 0, 0).otherwise(1))
+        .withColumn("part", F.when(F.col("large"), F.col("gid")).otherwise(F.pmod("gid", F.lit(groups))))  # small bands share groups, a pair of blocks is one of its own
+        .select("rep", "band", "gid", "side", "part")
     )
-    part = F.pmod("gid", F.lit(groups))
-    survivors = blocked.join(texts.select("rep", "sig"), "rep").withColumn("part", part).groupBy("part").applyInArrow(_survivors(least_matches(threshold)), SURVIVORS)
-    survivors = materialize(spark, survivors, "jaccard-candidates")
-    free_shuffles(spark)
+    survivors = workspace.table(blocked.join(sets.select("rep", "sig"), "rep").groupBy("part").applyInArrow(_survivors(least_matches(threshold)), SURVIVORS), "candidates")
     # sorted and merged at every size: a broadcast of the candidates would end where they outgrow it
     # and a text that is repeated comes once
     texts_of = documents.select(digest().alias("digest"), "text").groupBy("digest").agg(F.min("text").alias("text"))
-    found = survivors.hint("merge").join(texts.select("rep", "digest", "copy_id"), "rep").hint("merge").join(texts_of, "digest").select("gid", "rep", "copy_id", "partners", "text", part.alias("part"))
-    links = materialize(spark, found.groupBy("part").applyInArrow(_verified(width, threshold), "rep long, copy_id long, links long, anchor long, anchor_id long"), "jaccard-links")
-    discard(spark, survivors)
-    free_shuffles(spark)
-    n_links = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    node = lambda doc, rep: F.struct(F.col(doc).alias("doc"), F.col(rep).alias("rep"))
-    least = components(links.select(node("copy_id", "rep").alias("u"), node("anchor_id", "anchor").alias("v")), 0).select(F.col("u.rep").alias("rep"), F.col("v.doc").alias("class_id"), F.lit(False).alias("least"))
-    by_text = reps.select("digest", "rep", "copy_id", "n_copies").join(n_links, "rep", "left").join(least, "rep", "left")
-    return docs.select("doc_id", "digest"), by_text.select("digest", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("least", F.lit(True)).alias("least"))
+    found = survivors.hint("merge").join(sets.select("rep", "digest", "copy_id", "n_texts"), "rep").hint("merge").join(texts_of, "digest")
+    links = workspace.table(found.groupBy("part").applyInArrow(_verified(width, threshold), LINKS), "links")
+    n_links = links.groupBy("digest").agg(F.sum("links").alias("links"))
+    node = lambda doc, text: F.struct(F.col(doc).alias("doc"), F.col(text).alias("digest"))
+    least = components(links.select(node("copy_id", "digest").alias("u"), node("anchor_id", "anchor").alias("v")), 0).select(F.col("u.digest").alias("digest"), F.col("v").alias("least"))
+    by_set = sets.select("shingles", "n_texts", "copy_id", "digest").join(n_links, "digest", "left").join(least, "digest", "left")
+    by_set = by_set.select("shingles", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).cast("long").alias("n_links"), F.coalesce("least", node("copy_id", "digest")).alias("least"))
+    by_text = texts.select("digest", "copy_id", "n_copies", "shingles").join(by_set, "shingles", "left")
+    return docs.select("doc_id", "digest"), by_text.select(
+        "digest",
+        F.coalesce("least.doc", "copy_id").alias("class_id"),
+        "copy_id",
+        "n_copies",
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.coalesce(F.col("least.digest") == F.col("digest"), F.lit(True)).alias("least"),
+    )
 
 
 def join(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: float = THRESHOLD) -> DataFrame:
@@ -278,14 +291,17 @@ def join(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: f
 
     Shingles are runs of `width` words in lower case (A-Z); shorter texts have one of all their words; null and empty
     texts are copies of each other and have no links. class_id and copy_id are null where no row of theirs has an id.
-    Rows of one id with different texts are different documents: each has the links of its own text. Other columns are not read.
+    Rows of one id with different texts are different documents: each has the links of its own text. A repeated row is a
+    copy, an empty table gives no rows, texts of any length are compared whole. Other columns are not read.
     """
     known = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
-    docs, by_text = classes(spark, identified(documents), width, threshold)
-    return docs.join(by_text, "digest").select(known("doc_id"), known("class_id"), known("copy_id"), "n_copies", "n_links")
+    with Workspace(spark, "jaccard") as workspace:
+        docs, by_text = classes(workspace, identified(documents), width, threshold)
+        return workspace.result(docs.join(by_text, "digest").select(known("doc_id"), known("class_id"), known("copy_id"), "n_copies", "n_links"))
 
 
 def op6_jaccard_join(spark, sf_dir):
+    """Null and empty texts are copies of each other without links, repeated rows are copies; see join()."""
     return join(spark, table(spark, sf_dir, "documents"))
 
 

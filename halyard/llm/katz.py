@@ -8,21 +8,20 @@ tables partitioned by order. Probabilities are evaluated order by order, from si
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, free_shuffles, groups_for, held_out, held_out_column, materialize, mix, table, word_hashes
-from .exchange import LOW48, bucket_of, by_bucket, pack48, pack_plain, runs, stored_slices, unpack48, unpack_plain, unpack_texts
+from .common import LOWER, U64, Workspace, groups_for, held_out, held_out_column, mix, span_hashes, table, word_spans
+from .exchange import LOW48, ROW, Round, batch, decode, digits, encode, relay_tasks, rows, runs, spread, stored_slices
 
 ORDER = 2
-#: From the second level on the buckets are worked on in so many turns: as much less is on the way at once.
-TURNS = 2
 #: Counts up to this one are discounted by Good-Turing; larger ones give up this share.
 CUTOFF, LARGE = 5, 1e-3
 FOLD = 10
@@ -34,12 +33,6 @@ START = U64(0x5354415254)
 #: Words are told apart by 40 bits within a history of a bucket.
 LOW40 = U64((1 << 40) - 1)
 
-SENT = "bucket int, slice_id long, histories binary, sizes binary, words binary, counts binary, lower binary, asked binary"
-SENT_KIND = pa.schema([("bucket", pa.int32()), ("slice_id", pa.int64()), *((c, pa.binary()) for c in ("histories", "sizes", "words", "counts", "lower", "asked"))])
-#: kind: answer (to a slice), model (a bucket's part of the tables), facts (count of counts, tokens, types).
-FOUND = "level int, bucket int, slice_id long, counts binary, terms binary, histories binary, sizes binary, words binary, facts array<long>, kind string"
-FOUND_KIND = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("slice_id", pa.int64()), *((c, pa.binary()) for c in ("counts", "terms", "histories", "sizes", "words")), ("facts", pa.list_(pa.int64())), ("kind", pa.string())])
-
 
 def discounts(n: np.ndarray) -> np.ndarray:
     """Factors for counts 0 to CUTOFF from the count of counts n[0..CUTOFF + 1], and LARGE's for all above.
@@ -77,22 +70,117 @@ class Facts:
 
 @dataclass
 class Model:
-    """What every task knows: facts by level, the training documents, buckets."""
+    """What every task knows: the training documents, facts by level, buckets."""
 
-    buckets: int
     documents: int
     facts: list
+    buckets: int = 0
 
     def unknown(self) -> float:
         """The probability of all words that training never saw, as one word."""
         one = self.facts[0]
         return max(one.rest, 1 / (one.tokens + 1.0)) if one.tokens else 1.0
 
+    def single(self, r: np.ndarray) -> np.ndarray:
+        """Probabilities of single words with the counts r."""
+        one = self.facts[0]
+        p = np.where(r > 0, one.times(r) / max(one.tokens, 1), 1.0) * one.scale
+        p[r == 0] = self.unknown()
+        return p
+
+
+class Words(Round):
+    """Records: a word and its count. Answer: its count in all training documents."""
+
+    spec = {"word": "key64", "count": "small"}
+    answer_spec = {"count": "small"}
+    ticket_spec: dict = {}
+    routed = "word"
+    level = 1
+
+    def merge(self, columns, hop):
+        order = np.lexsort((columns["word"], columns["bucket"]))
+        bucket, word = columns["bucket"][order], columns["word"][order]
+        start = np.append(0, np.flatnonzero((word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1])) + 1)
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+        return {"bucket": bucket[start], "word": word[start], "count": np.add.reduceat(columns["count"][order], start)}, inverse, {}
+
+    def settle(self, merged, place):
+        known = merged["count"] > 0
+        count = merged["count"][known]
+        model = {"kind": "model", "place": place, "n": len(count), "data": encode({"word": merged["word"][known], "count": count}, {"word": "key64", "count": "small"})}
+        return {"count": merged["count"]}, [model, _facts_row(count)]
+
+
+def _facts_row(count: np.ndarray) -> dict:
+    of = np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 3)
+    return {"kind": "facts", "facts": [int(count.sum()), len(count), *of[1 : CUTOFF + 2].tolist()]}
+
+
+#: A bucket's part of a level's tables: its histories, how many followers each has, what its weight needs; then the followers.
+MODEL_SPEC = {"histories": "key48", "sizes": "small", "terms": CUTOFF + 2, "words": "key40", "counts": "small"}
+
+
+class Grams(Round):
+    """Records: a history and a word, the count, the word's count (level 2) or probability (above it) at the level below,
+    and whether the source wants the history's terms (at the first record of the history's run). A record with word 0
+    and count 0 only asks for terms. Answer: the count, and for each asking record its history's terms.
+
+    Discounts are not known yet, so the terms are sums that they turn into its weight: the followers' counts by value
+    up to CUTOFF and above, and the followers' probabilities at the level below.
+    """
+
+    answer_spec = {"count": "small", "terms": CUTOFF + 2}
+    ticket_spec = {"asked": "flag", "which": "small"}
+
+    def __init__(self, ways: list[int], level: int, below: Model):
+        super().__init__(ways)
+        self.level, self.below = level, below
+        self.spec = {"history": "runs48", "word": "key40", "count": "small", "lower": "small" if level == 2 else "real", "asked": "flag"}
+
+    def merge(self, columns, hop):
+        order = np.lexsort((columns["word"], columns["history"], columns["bucket"]))
+        bucket, history, word = (columns[c][order] for c in ("bucket", "history", "word"))
+        new = np.append(True, (history[1:] != history[:-1]) | (bucket[1:] != bucket[:-1]))
+        start = np.flatnonzero(new | np.append(True, word[1:] != word[:-1]))
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+        head = np.flatnonzero(new[start])  # first merged record of each history's run
+        run = np.cumsum(new[start]) - 1
+        wanted = np.zeros(len(head), bool)
+        wanted[run[inverse[columns["asked"]]]] = True
+        asked = np.zeros(len(start), bool)
+        asked[head[wanted]] = True
+        lower = np.maximum.reduceat(columns["lower"][order], start)  # equal but for records that only ask
+        merged = {"bucket": bucket[start], "history": history[start], "word": word[start], "count": np.add.reduceat(columns["count"][order], start), "lower": lower, "asked": asked}
+        return merged, inverse, {"asked": columns["asked"], "which": np.where(columns["asked"], (np.cumsum(asked) - 1)[inverse], 0)}
+
+    def settle(self, merged, place):
+        known = merged["count"] > 0
+        h, count, lower = merged["history"][known], merged["count"][known], merged["lower"][known]
+        if self.level == 2:
+            lower = self.below.single(lower)
+        first = runs(h)
+        followers = np.diff(np.append(first, len(h)))
+        of = np.repeat(np.arange(len(first)), followers)
+        terms = np.stack([np.bincount(of, (count == r) * r, len(first)) for r in range(1, CUTOFF + 1)] + [np.bincount(of, np.where(count > CUTOFF, count, 0), len(first)), np.bincount(of, lower, len(first))])
+        asked = merged["history"][merged["asked"]]
+        at = np.minimum(np.searchsorted(h[first], asked), max(len(first) - 1, 0))
+        answer = np.zeros((CUTOFF + 2, len(asked)))
+        if len(first):
+            answer = terms[:, at] * (h[first][at] == asked)
+        model = {"kind": "model", "place": place, "n": len(h), "data": encode({"histories": h[first], "sizes": followers, "terms": terms, "words": merged["word"][known], "counts": count}, MODEL_SPEC)}
+        return {"count": merged["count"], "terms": answer}, [model, _facts_row(count)]
+
+    def pick(self, answer, inverse, ticket):
+        return {"count": answer["count"][inverse], "terms": answer["terms"][:, ticket["which"][ticket["asked"]]]}
+
 
 class _Level:
     """A slice's distinct n-grams of a level: which one each token ends, and what is known of them."""
 
-    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, first: np.ndarray, words: int):
+    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, words: int):
         """history: number of each token's history in the slice; word: its word's; train: tokens to count."""
         place, found = pd.factorize(history * words + word)
         self.place = place
@@ -103,16 +191,22 @@ class _Level:
 
 
 class _Slice:
-    def __init__(self, row: dict):
-        raw = [t.translate(LOWER).split() for t in unpack_texts(row["sizes"], row["texts"])]
-        self.slice_id, self.doc_ids = row["slice_id"], row["doc_ids"]
-        self.held = np.array([held_out(i, FOLD) for i in self.doc_ids], bool)
-        self.sizes = np.array([len(w) + 1 for w in raw])
+    """The tokens of a slice's documents, one document behind the other, and their n-grams."""
+
+    def __init__(self, row: dict, documents: int):
+        raw = np.frombuffer(zstandard.decompress(row["texts"]).translate(LOWER), np.uint8)
+        self.slice_id, self.doc_ids, self.documents = row["slice_id"], row["doc_ids"], documents
+        held = np.array([held_out(i, FOLD) for i in self.doc_ids], bool)
+        starts, stops = word_spans(raw)
+        n = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(row["sizes"])])))
+        self.sizes = n + 1
         ends = np.cumsum(self.sizes) - 1
-        keys = np.full(ends[-1] + 1, END, U64)
-        keys[np.delete(np.arange(len(keys)), ends)] = word_hashes([w for ws in raw for w in ws])
+        keys = np.empty(ends[-1] + 1, U64)
+        keys[ends] = END
+        keys[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = span_hashes(raw, starts, stops)
+        self.held = held
         self.first = np.append(0, ends[:-1] + 1)
-        self.train = np.repeat(~self.held, self.sizes)
+        self.train = np.repeat(~held, self.sizes)
         self.word, self.keys = pd.factorize(keys)
         self.n = len(keys)
         self.levels: list[_Level] = []
@@ -130,186 +224,69 @@ class _Slice:
                 history[self.first] = 0
                 keys = np.append(START, mix(self.history_key[-1][last.history] * U64(0x9E3779B97F4A7C15) + self.keys[last.word]))
             self.history_key.append(keys)
-            self.levels.append(_Level(history, self.word, self.train, self.first, len(self.keys)))
+            self.levels.append(_Level(history, self.word, self.train, len(self.keys)))
         return self.levels[number - 1]
 
-    def routes(self, number: int, counts: np.ndarray | None, model: Model):
-        """Entries in the order of sending, and the (bucket, history) pairs that are sent with how many entries each."""
+    def records(self, number: int, model: Model, evaluated: list):
+        """The records of a level by bucket, the n-gram of each (-1: none), and the history of each asking one."""
         x = self.level(number)
-        h = self.history_key[number - 1]
         if number == 1:
-            bucket = bucket_of(self.keys[x.word], model.buckets)
+            bucket = spread(self.keys[x.word], model.buckets)
             order = np.argsort(bucket, kind="stable")
-            pairs, sizes = np.unique(bucket, return_counts=True)
-            return order, bucket, pairs, np.zeros(len(pairs), np.int64), sizes, None
-        asked = np.zeros(len(h), bool)
+            return {"bucket": bucket[order], "word": self.keys[x.word][order], "count": x.local[order]}, order, None
+        counts, keys = self.history_counts(number, evaluated), self.history_key[number - 1]
+        asked = np.zeros(len(keys), bool)
         asked[x.history[np.unique(x.place[~self.train])]] = True
-        parts = np.minimum(np.ceil(counts * 4.0 * model.buckets / max(model.facts[0].tokens, 1)), model.buckets).astype(np.int64)
-        parts = np.maximum(parts, 1)
-        spread = lambda i, part: bucket_of(mix(h[i] + part.astype(U64) * U64(0xD6E8FEB86659FD93)), model.buckets)
-        bucket = spread(x.history, ((self.keys[x.word] >> U64(50)) % parts[x.history].astype(U64)).astype(np.int64))
+        # a history with many tokens is dealt by its words over as many buckets as it is worth, each of which is asked
+        parts = np.maximum(np.minimum(np.ceil(counts * 4.0 * model.buckets / max(model.facts[0].tokens, 1)), model.buckets).astype(np.int64), 1)
+        dealt = lambda i, part: spread(mix(keys[i] + part.astype(U64) * U64(0xD6E8FEB86659FD93)), model.buckets)
         hot = np.flatnonzero(asked & (parts > 1))
         query = np.repeat(hot, parts[hot])
-        query_part = np.arange(len(query)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])
-        pair = bucket * len(h) + x.history
-        order = np.argsort(pair, kind="stable")
-        sent = pair[order]
-        pairs = sent[runs(sent)]
-        if len(query):
-            pairs = np.unique(np.append(pairs, spread(query, query_part) * len(h) + query))
-        sizes = np.diff(np.append(np.searchsorted(sent, pairs), len(pair)))
-        return order, bucket, pairs // len(h), pairs % len(h), sizes, asked
-
-    def send(self, number: int, counts, lower, model: Model, turn: int = 0, turns: int = 1):
-        """Rows for the buckets of a turn; counts: of the histories; lower: each token's probability at the level below."""
-        x = self.level(number)
-        order, bucket, pair_bucket, pair_history, sizes, asked = self.routes(number, counts, model)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        wkeys, local = self.keys[x.word[order]], x.local[order]
-        low = lower[x.some[order]] if lower is not None else None
-        for b, i, j in by_bucket(pair_bucket):
-            if b % turns != turn:
-                continue
-            s, e = total[i], total[j]
-            yield {
-                "bucket": b, "slice_id": self.slice_id, "sizes": pack_plain(sizes[i:j].astype("<u4")), "counts": pack_plain(local[s:e].astype("<u4")),
-                "words": wkeys[s:e].astype("<u8").tobytes() if number == 1 else _pack40(wkeys[s:e]),
-                "histories": None if number == 1 else pack48(self.history_key[number - 1][pair_history[i:j]]),
-                "lower": None if low is None else pack_plain(low[s:e]),
-                "asked": None if asked is None else np.packbits(asked[pair_history[i:j]]).tobytes(),
-            }
+        part = np.arange(len(query)) - np.repeat(np.cumsum(parts[hot]) - parts[hot], parts[hot])
+        none = np.zeros(len(query), np.int64)
+        history = np.append(x.history, query)
+        bucket = np.append(dealt(x.history, ((self.keys[x.word] >> U64(50)) % parts[x.history].astype(U64)).astype(np.int64)), dealt(query, part))
+        lower = evaluated[number - 2][0 if number == 2 else 1][x.some]
+        order = np.lexsort((history, bucket))
+        history, bucket = history[order], bucket[order]
+        head = np.append(True, (history[1:] != history[:-1]) | (bucket[1:] != bucket[:-1])) & asked[history]
+        columns = {"bucket": bucket, "history": keys[history] & LOW48, "word": np.append(self.keys[x.word] & LOW40, none.astype(U64))[order], "count": np.append(x.local, none)[order], "lower": np.append(lower, none)[order], "asked": head}
+        return columns, np.append(np.arange(len(x.word)), none - 1)[order], history[head]
 
     def evaluate(self, answers: dict, model: Model, upto: int):
-        """(counts of the n-gram each token ends, its probability), level by level; answers: {(level, bucket): row}."""
-        r = p = None
+        """(counts of the n-gram each token ends, its probability), level by level; answers: {level: answer columns}."""
+        p = None
         out = []
         for number in range(1, upto + 1):
-            x, facts = self.level(number), model.facts[number - 1]
-            counts = self.history_counts(number, out)
-            order, _, pair_bucket, pair_history, sizes, asked = self.routes(number, counts, model)
-            total = np.concatenate([[0], np.cumsum(sizes)])
+            _, gram, histories = self.records(number, model, out)
+            x, facts, answer = self.level(number), model.facts[number - 1], answers[number]
             found = np.zeros(len(x.word), np.int64)
-            left = np.zeros(len(self.history_key[number - 1]))
-            seen = np.zeros(len(left))
-            for b, i, j in by_bucket(pair_bucket):
-                row = answers[number, b]
-                found[order[total[i] : total[j]]] = unpack_plain(row["counts"], "<u4")
-                if asked is not None:
-                    some = pair_history[i:j][asked[pair_history[i:j]]]
-                    terms = unpack_plain(row["terms"], "<f8").reshape(2, -1)
-                    left[some] += terms[0]
-                    seen[some] += terms[1]
+            found[gram[gram >= 0]] = answer["count"][gram >= 0]
             r = found[x.place]
             if number == 1:
-                p = np.where(r > 0, facts.times(r) / max(facts.tokens, 1), 1.0) * facts.scale
-                p[r == 0] = model.unknown()
+                p = model.single(r)
             else:
+                counts = self.history_counts(number, out)
+                left, seen = np.zeros(len(counts)), np.zeros(len(counts))
+                np.add.at(left, histories, facts.discount[1:] @ answer["terms"][:-1])
+                np.add.at(seen, histories, answer["terms"][-1])
                 h = x.history[x.place]
-                c = counts[h]
                 # the weight: what the counts of the history leave, over what its followers leave at the level below
                 given = 1 - left / np.maximum(counts, 1)
                 weight = np.where(counts > 0, np.maximum(given, 0) / np.maximum(1 - seen, 1e-300), 1.0)
-                p = np.where(r > 0, facts.times(r) / np.maximum(c, 1), weight[h] * p)
+                p = np.where(r > 0, facts.times(r) / np.maximum(counts[h], 1), weight[h] * p)
             out.append((r, p))
         return out
 
-    def history_counts(self, number: int, evaluated) -> np.ndarray | None:
-        """Training counts of the slice's histories of a level."""
-        if number == 1:
-            return None
-        last = self.levels[number - 2] if len(self.levels) >= number - 1 else self.level(number - 1)
+    def history_counts(self, number: int, evaluated) -> np.ndarray:
+        """Training counts of the slice's histories of a level from the second on."""
+        last = self.level(number - 1)
         counts = np.empty(len(last.word) + 1, np.int64)
         counts[1:] = evaluated[number - 2][0][last.some]
-        counts[0] = self.model_documents
+        counts[0] = self.documents
         return counts
 
 
-def _pack40(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack40(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel()
-
-
-def _reducer(number: int):
-    """Adds up a bucket's n-grams: answers to its slices, the bucket's tables, and facts.
-
-    Discounts are not known yet, so of a history the terms are, by followers' counts, kept as sums that the
-    discounts turn into its weight: see _terms().
-    """
-
-    def run(key, t):
-        rows = t.to_pylist()
-        sizes = [unpack_plain(r["sizes"], "<u4") for r in rows]
-        n = [int(s.sum()) for s in sizes]
-        w = np.concatenate([np.frombuffer(r["words"], U64) if number == 1 else _unpack40(r["words"]) for r in rows])
-        local = np.concatenate([unpack_plain(r["counts"], "<u4") for r in rows]).astype(np.int64)
-        if number == 1:
-            h = np.zeros(len(w), U64)
-            listed = None
-        else:
-            listed = [unpack48(r["histories"]) for r in rows]
-            h = np.concatenate([np.repeat(x, s) for x, s in zip(listed, sizes)])
-        order = np.lexsort((w, h))
-        hs, ws = h[order], w[order]
-        start = np.append(0, np.flatnonzero((hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])) + 1) if len(hs) else np.empty(0, int)
-        count = np.add.reduceat(local[order], start) if len(start) else np.empty(0, int)
-        every = np.empty(len(w), np.int64)
-        every[order] = np.repeat(count, np.diff(np.append(start, len(w))))
-        known = count > 0
-        hk, wk, ck = hs[start][known], ws[start][known], count[known]
-        out = []
-        model = {"level": number, "bucket": key[0].as_py(), "kind": "model", "counts": pack_plain(ck.astype("<u4"))}
-        if number == 1:
-            model["words"] = wk.tobytes()
-            answers = [None] * len(rows)
-        else:
-            lower = np.concatenate([unpack_plain(r["lower"], "<f8") for r in rows])[order][start][known]
-            first = runs(hk)
-            heads = hk[first]
-            followers = np.diff(np.append(first, len(hk)))
-            number_of = np.repeat(np.arange(len(heads)), followers)
-            by = np.stack([np.bincount(number_of, (ck == r) * r, len(heads)) for r in range(1, CUTOFF + 1)] + [np.bincount(number_of, np.where(ck > CUTOFF, ck, 0), len(heads))])
-            below = np.bincount(number_of, lower, len(heads))
-            model |= {"histories": pack48(heads), "sizes": pack_plain(followers.astype("<u4")), "words": _pack40(wk), "terms": pack_plain(np.concatenate([by, below[None]]).astype("<f8"))}
-            answers = []
-            for r, x in zip(rows, listed):
-                x = x[np.unpackbits(np.frombuffer(r["asked"], np.uint8), count=len(x)).astype(bool)]
-                at = np.searchsorted(heads, x)
-                at[at == len(heads)] = 0
-                has = heads[at] == x if len(heads) else np.zeros(len(x), bool)
-                some = np.concatenate([by, below[None]])[:, at] * has if len(heads) else np.zeros((CUTOFF + 2, len(x)))
-                answers.append(pack_plain(some.astype("<f8")))
-        cuts = np.cumsum(n)[:-1]
-        for r, c, a in zip(rows, np.split(every, cuts), answers):
-            out.append({"level": number, "bucket": r["bucket"], "slice_id": r["slice_id"], "counts": pack_plain(c.astype("<u4")), "terms": a, "kind": "answer"})
-        out.append(model)
-        of = np.bincount(np.minimum(ck, CUTOFF + 2), minlength=CUTOFF + 3)
-        out.append({"level": number, "kind": "facts", "facts": [int(ck.sum()), len(ck), *of[1 : CUTOFF + 2].tolist()]})
-        return pa.Table.from_pylist(out, FOUND_KIND)
-
-    return run
-
-
-def _terms(data: bytes, facts: Facts) -> bytes:
-    """Of each history: the discounted counts of its followers, and their probability at the level below."""
-    x = unpack_plain(data, "<f8").reshape(CUTOFF + 2, -1)
-    return np.stack([facts.discount[1:] @ x[:-1], x[-1]]).astype("<f8").tobytes()
-
-
-def _answers(t, model: Model) -> dict:
-    out = {}
-    for r in t.to_pylist():
-        if r["terms"] is not None:
-            r["terms"] = pack_plain(np.frombuffer(_terms(r["terms"], model.facts[r["level"] - 1]), "<f8"))
-        out[r["level"], r["bucket"]] = r
-    return out
-
-
 def _facts(found: DataFrame, number: int) -> Facts:
     names = [f"f{i}" for i in range(CUTOFF + 3)]
     row = found.where("kind = 'facts'").agg(*(F.coalesce(F.sum(F.col("facts")[i]), F.lit(0)).alias(names[i]) for i in range(len(names)))).first()
@@ -324,10 +301,9 @@ def _facts(found: DataFrame, number: int) -> Facts:
     return facts
 
 
-def _opened(left, model: Model):
-    s = _Slice(left.to_pylist()[0])
-    s.model_documents = model.documents
-    return s
+def _answers(right: pa.Table, rounds: list[Round]) -> dict:
+    level = right.column("level").to_numpy()
+    return {r.level: r.answers(right.filter(pa.array(level == r.level))) for r in rounds}
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -342,63 +318,71 @@ def _scored(s: _Slice, evaluated, model: Model):
     return pa.table([pa.array(s.doc_ids, pa.int64()), pa.array(s.held), pa.array(s.sizes), pa.array(add((r > 0).astype(np.int64))), pa.array(np.full(len(s.sizes), one.tokens)), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=SCORED_KIND)
 
 
-def _first_sender(model: Model):
+def _first_sender(first: Words, model: Model):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(_Slice(row).send(1, None, None, model)), SENT_KIND)
+        for b in batches:
+            for row in b.to_pylist():
+                s = _Slice(row, model.documents)
+                yield batch(first.send(s.slice_id, s.records(1, model, [])[0]))
 
     return run
 
 
-def _sender(number: int, model: Model, turn: int):
+def _sender(rounds: list[Round], model: Model):
     def run(key, left, right):
         if not left.num_rows:
-            return SENT_KIND.empty_table()
-        s = _opened(left, model)
-        evaluated = s.evaluate(_answers(right, model), model, number - 1)
-        return pa.Table.from_pylist(list(s.send(number, s.history_counts(number, evaluated), evaluated[-1][1], model, turn, TURNS)), SENT_KIND)
+            return rows([])
+        s = _Slice(left.to_pylist()[0], model.documents)
+        evaluated = s.evaluate(_answers(right, rounds[:-1]), model, len(rounds) - 1)
+        return rows(rounds[-1].send(s.slice_id, s.records(len(rounds), model, evaluated)[0]))
 
     return run
 
 
-def _finisher(order: int, model: Model):
+def _finisher(rounds: list[Round], model: Model):
     def run(key, left, right):
         if not left.num_rows:
             return SCORED_KIND.empty_table()
-        s = _opened(left, model)
-        return _scored(s, s.evaluate(_answers(right, model), model, order), model)
+        s = _Slice(left.to_pylist()[0], model.documents)
+        return _scored(s, s.evaluate(_answers(right, rounds), model, len(rounds)), model)
 
     return run
 
 
-def train_and_score(spark: SparkSession, documents: DataFrame, order: int = ORDER):
-    """Learn from the documents outside the held-out fold and score all: (scores, [tables of each level and turn], Model).
+def fit_and_score(workspace: Workspace, documents: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFrame], Model]:
+    """(scores, the tables of each level, Model); the tables and what the scores are read from last as long as the workspace."""
+    ways, tasks = digits(groups_for(documents, BUCKET_BYTES, 64)), relay_tasks(documents)
+    sliced = stored_slices(workspace, documents, SLICE_BYTES)
+    model = Model(documents.where(~held_out_column("doc_id", FOLD)).count(), [])
+    rounds: list[Round] = [Words(ways)]
+    model.buckets = rounds[0].buckets
+    tables, answered = [], []
 
-    A null text is an empty one, of its end token alone; rows with a null id are held out; repeated rows all count.
-    Words that training never saw are one unknown word. Columns but doc_id and text are not read.
-    """
-    buckets = groups_for(documents, BUCKET_BYTES, 64)
-    sliced = stored_slices(spark, documents, SLICE_BYTES)
-    model = Model(buckets, documents.where(~held_out_column("doc_id", FOLD)).count(), [])
-    tables: list[DataFrame] = []
+    def asked(sent):
+        found, answers = rounds[-1].run(workspace, sent, f"katz-{len(rounds)}", tasks)
+        tables.append(found)
+        answered.append(answers.withColumn("level", F.lit(len(rounds))))
+        model.facts.append(_facts(found, len(rounds)))
+        return functools.reduce(DataFrame.unionByName, answered).groupBy("source")
 
-    def answered():
-        return functools.reduce(DataFrame.unionByName, tables).where("kind = 'answer'").select("level", "bucket", "slice_id", "counts", "terms")
+    known = asked(sliced.mapInArrow(_first_sender(rounds[0], model), ROW))
+    for number in range(2, order + 1):
+        rounds.append(Grams(ways, number, Model(model.documents, model.facts[:1])))
+        known = asked(sliced.groupBy("slice_id").cogroup(known).applyInArrow(_sender(list(rounds), model), ROW))
+    return sliced.groupBy("slice_id").cogroup(known).applyInArrow(_finisher(rounds, model), SCORED), tables, model
 
-    def reduced(rows, number):
-        tables.append(materialize(spark, rows.groupBy("bucket").applyInArrow(_reducer(number), FOUND), f"katz-{number}", "kind"))
-        free_shuffles(spark)
 
-    reduced(sliced.mapInArrow(_first_sender(model), SENT), 1)
-    model.facts.append(_facts(tables[0], 1))
-    for number in range(2, order + 1):
-        known = answered()
-        for turn in range(TURNS):
-            reduced(sliced.groupBy("slice_id").cogroup(known.groupBy("slice_id")).applyInArrow(_sender(number, model, turn), SENT), number)
-        model.facts.append(_facts(functools.reduce(DataFrame.unionByName, tables[-TURNS:]), number))
-    return sliced.groupBy("slice_id").cogroup(answered().groupBy("slice_id")).applyInArrow(_finisher(order, model), SCORED), tables, model
+def train_and_score(spark: SparkSession, documents: DataFrame, order: int = ORDER) -> DataFrame:
+    """Learn from the documents outside the held-out fold and score all.
+
+    A null or empty text is its end token alone; rows with a null id are held out; repeated rows all count and score
+    alike; an empty table gives no rows. Words that training never saw are one unknown word. A text of any length is in
+    one slice. Columns but doc_id and text are not read. Nothing but the result is left in the shared folder.
+    """
+    with Workspace(spark, "katz") as workspace:
+        return workspace.result(fit_and_score(workspace, documents, order)[0])
 
 
 def op1_katz(spark, sf_dir):
-    return train_and_score(spark, table(spark, sf_dir, "documents"))[0]
+    """Null and empty texts have their end token alone, null ids are held out, repeated rows score alike; see train_and_score()."""
+    return train_and_score(spark, table(spark, sf_dir, "documents"))

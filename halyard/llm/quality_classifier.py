@@ -94,6 +94,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", mod: in
     return fit_ftrl([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.x, "<f4").astype(float), r.label) for r in rows], dimensions)
 
 
+def score_texts(texts: list[str | None], weights: np.ndarray) -> list[float]:
+    return [score_text(t, weights) for t in texts]
+
+
 def score_text(text: str | None, weights: np.ndarray) -> float:
     i, x = features(text, len(weights))
     return 1 / (1 + np.exp(-np.clip(float(weights[i] @ x), -35, 35)))
@@ -107,7 +111,7 @@ def score(documents: DataFrame, weights: np.ndarray, mod: int = 5, keep_from: fl
     sent = documents.sparkSession.sparkContext.broadcast(weights)
 
     def scored(rows):
-        out = [score_text(t, sent.value) for t in rows["text"]]
+        out = score_texts(rows["text"], sent.value)
         return {"doc_id": rows["doc_id"], "held_out": [held_out(i, mod) for i in rows["doc_id"]], "score": out, "predicted": [int(s >= keep_from) for s in out]}
 
     return map_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, held_out boolean, score double, predicted int")
@@ -118,4 +122,5 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_quality_classifier(spark, sf_dir):
+    """Null and empty texts have the bias's score, repeated rows score alike, null ids are held out; see score()."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

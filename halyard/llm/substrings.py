@@ -8,171 +8,202 @@ hits the windows of WIDTH words are compared by 96-bit keys; runs of repeated wi
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import U64, discard, free_shuffles, groups_for, materialize, table, windows, word_hashes
-from .exchange import LOW48, NO_ID, bucket_of, by_bucket, member, pack48, pack_ids, runs, stored_slices, unpack48, unpack_ids, unpack_texts
+from .common import U64, Workspace, groups_for, span_hashes, table, windows, word_spans
+from .exchange import LOW48, NO_ID, ROW, Round, batch, digits, relay_tasks, rows, runs, spread, stored_slices
 
 WIDTH = 13
 #: Text of a slice, and input for each hash bucket.
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 
-SENT = "bucket int, slice_id long, keys binary, more binary, ids binary, flags binary"
-SENT_KIND = pa.schema([("bucket", pa.int32()), ("slice_id", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("ids", pa.binary()), ("flags", pa.binary())])
-FOUND = "slice_id long, keys binary"
-FOUND_KIND = pa.schema([("slice_id", pa.int64()), ("keys", pa.binary())])
-
 
 def block_of(width: int) -> int:
     return (width + 1) // 2
 
 
+class Anchors(Round):
+    """Who has a block? Records: a key with an id and whether that document has it as an indexed block. A key's
+    records are its largest document, and the smallest that has it as a block. Answer: a document has it as a block
+    and a larger one as a window."""
+
+    spec = {"key": "key48", "id": "id", "flag": "flag"}
+    answer_spec = {"hit": "flag"}
+    ticket_spec: dict = {}
+    routed = "key"
+
+    def records(self, key: np.ndarray, top: np.ndarray, low: np.ndarray, hop: int = 0) -> tuple[dict, np.ndarray]:
+        """Records of distinct keys (low: NO_ID without a block), by place and id, and for each key its first record."""
+        two = low < top
+        key, ids = np.append(key, key[two]), np.append(top, low[two])
+        flag = np.append((low == top) & (low < NO_ID), np.ones(two.sum(), bool))
+        bucket = spread(key, self.buckets)
+        order = np.lexsort((ids, self.place(bucket, hop)))
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        return {"bucket": bucket[order], "key": key[order], "id": ids[order], "flag": flag[order]}, at[: len(top)]
+
+    def merge(self, columns, hop):
+        order = np.argsort(columns["key"], kind="stable")
+        key, ids = columns["key"][order], columns["id"][order]
+        start = runs(key)
+        low = np.minimum.reduceat(np.where(columns["flag"][order], ids, NO_ID), start)
+        merged, place = self.records(key[start], np.maximum.reduceat(ids, start), low, hop)
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.repeat(place, np.diff(np.append(start, len(order))))
+        return merged, inverse, {}
+
+    def settle(self, merged, place):
+        order = np.argsort(merged["key"], kind="stable")
+        start = runs(merged["key"][order])
+        ids = merged["id"][order]
+        low = np.minimum.reduceat(np.where(merged["flag"][order], ids, NO_ID), start)
+        hit = np.empty(len(order), bool)
+        hit[order] = np.repeat(low < np.maximum.reduceat(ids, start), np.diff(np.append(start, len(order))))
+        return {"hit": hit}, []
+
+
+class Repeats(Round):
+    """Which window of the whole width also starts in a smaller document? Records: a 96-bit key in two halves, and the
+    smallest document of the source that has it. Answers lie by the records' places, so no key comes back."""
+
+    spec = {"key": "key48", "more": "key48", "id": "id"}
+    answer_spec = {"hit": "flag"}
+    ticket_spec = {"larger": "flag"}
+    routed = "key"
+
+    def merge(self, columns, hop=0):
+        order = np.lexsort((columns["id"], columns["more"], columns["key"]))
+        key, more, ids = (columns[c][order] for c in ("key", "more", "id"))
+        start = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (more[1:] != more[:-1])) + 1)
+        length = np.diff(np.append(start, len(order)))
+        merged = {"bucket": spread(key[start], self.buckets), "key": key[start], "more": more[start], "id": ids[start]}
+        again = np.lexsort((merged["id"], self.place(merged["bucket"], hop)))
+        at = np.empty(len(start), np.int64)
+        at[again] = np.arange(len(start))
+        inverse, larger = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        inverse[order] = np.repeat(at, length)
+        larger[order] = ids > np.repeat(ids[start], length)
+        return {c: x[again] for c, x in merged.items()}, inverse, {"larger": larger}
+
+    def settle(self, merged, place):
+        return {"hit": np.zeros(len(merged["key"]), bool)}, []  # merged once more, none is smaller than the smallest
+
+    def pick(self, answer, inverse, ticket):
+        return {"hit": answer["hit"][inverse] | ticket["larger"]}
+
+
+@dataclass
 class _Slice:
     """The documents of a slice by id, and windows over their words."""
 
-    def __init__(self, row: dict):
-        self.ids = np.array([NO_ID if i is None else i for i in row["doc_ids"]], np.int64)
-        self.words = [t.split() for t in unpack_texts(row["sizes"], row["texts"])]
-        self.hashes = [word_hashes(w) for w in self.words]
-
-    def windows(self, width: int, least: int, seed: int = 0, some=None):
-        """Keys of all windows of the documents of at least `least` words, ids and starts, in document order."""
-        some = [k for k, h in enumerate(self.hashes) if len(h) >= least] if some is None else some
-        found = [windows(self.hashes[k], width, seed) for k in some]
-        n = [len(x) for x in found]
-        return (np.concatenate(found) if found else np.empty(0, U64)), np.repeat(self.ids[some], n), some, n
+    row: dict
+
+    def __post_init__(self):
+        self.raw = zstandard.decompress(self.row["texts"])
+        data = np.frombuffer(self.raw, np.uint8)
+        self.bounds = np.concatenate([[0], np.cumsum(self.row["sizes"])])
+        self.ids = np.array([NO_ID if i is None else i for i in self.row["doc_ids"]], np.int64)
+        self.starts, self.stops = word_spans(data)
+        self.hashes = span_hashes(data, self.starts, self.stops)
+        self.first = np.searchsorted(self.starts, self.bounds)  # of each document's words
+        self.sizes = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+
+    def whole(self, width: int) -> np.ndarray:
+        """Starts of the windows that lie in one document."""
+        return np.flatnonzero(self.doc[width - 1 :] == self.doc[: len(self.doc) - width + 1]) if len(self.doc) >= width else np.empty(0, int)
+
+    def anchors(self, width: int, round: Anchors):
+        """The records of the first round, each probing window's start and its record's place."""
+        block = block_of(width)
+        start = self.whole(block)
+        start = start[self.sizes[self.doc[start]] >= width]
+        key = windows(self.hashes, block)[start] & LOW48 if len(start) else np.empty(0, U64)
+        ids = self.ids[self.doc[start]]
+        indexed = (start - self.first[self.doc[start]]) % block == 0
+        order = np.argsort(key, kind="stable")
+        k, d = key[order], ids[order]
+        cut = runs(k)
+        if not len(cut):
+            return None, start, cut
+        low = np.minimum.reduceat(np.where(indexed[order], d, NO_ID), cut)
+        columns, place = round.records(k[cut], d[np.append(cut[1:], len(d)) - 1], low)
+        of = np.empty(len(start), np.int64)
+        of[order] = np.repeat(place, np.diff(np.append(cut, len(d))))
+        return columns, start, of
+
+    def repeats(self, width: int, hit: np.ndarray, start: np.ndarray, of: np.ndarray, round: Repeats):
+        """The records of the second round, the starts of the windows of the whole width that hold a hit, and each
+        one's record and whether the slice itself has it in a smaller document."""
+        block = block_of(width)
+        at = np.zeros(len(self.hashes) + block + 1, np.int64)
+        at[start[hit[of]] + 1] = 1
+        total = np.cumsum(at)
+        wide = self.whole(width)
+        wide = wide[total[wide + block] > total[wide]]
+        if not len(wide):
+            return None, wide, wide, wide
+        a, b = (windows(self.hashes, width, k)[wide] & LOW48 for k in (1, 2))
+        columns, of, ticket = round.merge({"key": a, "more": b, "id": self.ids[self.doc[wide]]})
+        return columns, wide, of, ticket["larger"]
+
+    def gone(self, width: int, wide: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """Words that a repeated window covers."""
+        change = np.zeros(len(self.hashes) + 1, np.int64)
+        np.add.at(change, wide[repeated], 1)
+        np.add.at(change, wide[repeated] + width, -1)
+        return np.cumsum(change[:-1]) > 0
+
+
+def _probe(width: int, first: Anchors):
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                columns, _, _ = _Slice(row).anchors(width, first)
+                if columns:
+                    yield batch(first.send(row["slice_id"], columns))
 
+    return run
 
-def _send(slice_id, keys, more, ids, flags, buckets):
-    """Rows for the buckets of the entries."""
-    bucket = bucket_of(keys, buckets)
-    order = np.lexsort((ids, bucket))
-    for b, i, j in by_bucket(bucket[order]):
-        some = order[i:j]
-        yield {"bucket": b, "slice_id": slice_id, "keys": pack48(keys[some]), "more": pack48(more[some]) if more is not None else None, "ids": pack_ids(ids[some]), "flags": np.packbits(flags[some]).tobytes() if flags is not None else None}
 
+def _opened(left, right, width: int, first: Anchors, second: Repeats):
+    """(slice, records of the second round, the starts of their windows, their records, own repeats)."""
+    s = _Slice(left.to_pylist()[0])
+    columns, start, of = s.anchors(width, first)
+    hits = first.answers(right)["hit"] if columns else np.empty(0, bool)
+    return s, *s.repeats(width, hits, start, of, second)
 
-def _probes(sliced: DataFrame, width: int, buckets: int) -> DataFrame:
-    """For each slice's distinct rolling windows: the largest document, and the smallest that has it as an indexed block."""
-    block = block_of(width)
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                s = _Slice(r)
-                keys, ids, _, n = s.windows(block, width)
-                indexed = np.concatenate([np.arange(k) % block == 0 for k in n]) if n else np.empty(0, bool)
-                order = np.argsort(keys, kind="stable")
-                k, d = keys[order], ids[order]
-                start = runs(k)
-                if not len(start):
-                    continue
-                k, top = k[start], d[np.append(start[1:], len(d)) - 1]
-                low = np.minimum.reduceat(np.where(indexed[order], d, NO_ID), start)
-                has = np.logical_or.reduceat(indexed[order], start)
-                two = has & (low < top)
-                rows = _send(r["slice_id"], np.append(k, k[two]), None, np.append(top, low[two]), np.append(has & (low == top), np.ones(two.sum(), bool)), buckets)
-                yield pa.RecordBatch.from_pylist(list(rows), SENT_KIND)
-
-    return sliced.mapInArrow(run, SENT)
-
-
-def _gather(t):
-    rows = t.to_pylist()
-    keys = [unpack48(r["keys"]) for r in rows]
-    n = [len(k) for k in keys]
-    return rows, keys, n, np.concatenate(keys), np.concatenate([unpack_ids(r["ids"]) for r in rows])
-
-
-def _active(key, t):
-    """The keys, by slice, that a document has as an indexed block and a larger one has as a window."""
-    rows, keys, n, k, d = _gather(t)
-    flags = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=m) for r, m in zip(rows, n)]).astype(bool)
-    order = np.argsort(k)
-    start = runs(k[order])
-    low = np.minimum.reduceat(np.where(flags, d, NO_ID)[order], start)
-    top = np.maximum.reduceat(d[order], start)
-    hit = k[order][start[low < top]]
-    out = [(r["slice_id"], np.unique(x[member(x, hit)])) for r, x in zip(rows, keys)]
-    return pa.Table.from_pylist([{"slice_id": i, "keys": pack48(x)} for i, x in out if len(x)], FOUND_KIND)
-
-
-def _received(t) -> np.ndarray:
-    return np.unique(np.concatenate([np.empty(0, U64), *(unpack48(x) for x in t.column("keys").to_pylist())]))
-
-
-def _candidates(width: int, buckets: int):
-    block = block_of(width)
 
+def _extend(width: int, first: Anchors, second: Repeats):
     def run(key, left, right):
-        out = []
-        active = _received(right)
-        if left.num_rows and len(active):
-            s = _Slice(left.to_pylist()[0])
-            keys, _, some, n = s.windows(block, width)
-            hit = member(keys & LOW48, active)
-            parts, at = [], 0
-            for k, m in zip(some, n):
-                h = hit[at : at + m]
-                at += m
-                if h.any():
-                    total = np.concatenate([[0], np.cumsum(h)])
-                    starts = np.flatnonzero(total[block:] > total[:-block])
-                    parts.append((windows(s.hashes[k], width, 1)[starts], windows(s.hashes[k], width, 2)[starts], np.full(len(starts), s.ids[k])))
-            if parts:
-                a, b, d = (np.concatenate(x) for x in zip(*parts))
-                order = np.argsort(a, kind="stable")
-                first = order[runs(a[order])]
-                out = list(_send(int(left.column("slice_id")[0].as_py()), a[first], b[first], d[first], None, buckets))
-        return pa.Table.from_pylist(out, SENT_KIND)
+        if not left.num_rows:
+            return rows([])
+        s, columns, *_ = _opened(left, right, width, first, second)
+        return rows(second.send(s.row["slice_id"], columns) if columns else [])
 
     return run
 
 
-def _elsewhere(key, t):
-    """The keys, by slice, that also start in a smaller document than any of the slice's."""
-    rows, keys, n, k, d = _gather(t)
-    b = np.concatenate([unpack48(r["more"]) for r in rows])
-    order = np.lexsort((b, k))
-    ks, bs = k[order], b[order]
-    start = np.append(0, np.flatnonzero((ks[1:] != ks[:-1]) | (bs[1:] != bs[:-1])) + 1)
-    low = np.empty(len(k), np.int64)
-    low[order] = np.repeat(np.minimum.reduceat(d[order], start), np.diff(np.append(start, len(k))))
-    cuts = np.cumsum(n)[:-1]
-    out = [(r["slice_id"], x[y]) for r, x, y in zip(rows, keys, np.split(low < d, cuts))]
-    return pa.Table.from_pylist([{"slice_id": i, "keys": pack48(x)} for i, x in out if len(x)], FOUND_KIND)
-
-
-def _finish(width: int, kind, make):
+def _finish(width: int, first: Anchors, second: Repeats, kind, make):
     def run(key, left, right):
         out = []
         if left.num_rows:
-            elsewhere = _received(right)
-            row = left.to_pylist()[0]
-            s = _Slice(row)
-            keys, d, some, n = s.windows(width, width, 1)
-            repeated = member(keys & LOW48, elsewhere)
-            order = np.argsort(keys, kind="stable")
-            start = runs(keys[order])
-            if len(start):
-                low = np.empty(len(keys), np.int64)
-                low[order] = np.repeat(d[order][start], np.diff(np.append(start, len(keys))))
-                repeated |= low < d
-            cuts = dict(zip(some, np.split(repeated, np.cumsum(n)[:-1]) if some else []))
-            for i, doc_id in enumerate(row["doc_ids"]):
-                gone = np.zeros(len(s.words[i]), bool)
-                if i in cuts and cuts[i].any():
-                    change = np.zeros(len(gone) + 1, np.int64)
-                    starts = np.flatnonzero(cuts[i])
-                    change[starts] += 1
-                    change[starts + width] -= 1
-                    gone = np.cumsum(change[:-1]) > 0
-                out.append(make(doc_id, s.words[i], gone))
+            step = right.column("step").to_numpy()
+            s, columns, wide, of, own = _opened(left, right.filter(pa.array(step == 1)), width, first, second)
+            repeated = np.zeros(0, bool)
+            if columns:
+                repeated = own | second.answers(right.filter(pa.array(step == 2)))["hit"][of]
+            gone = s.gone(width, wide, repeated) if repeated.any() else None
+            for i, doc_id in enumerate(s.row["doc_ids"]):
+                ws = s.raw[s.bounds[i] : s.bounds[i + 1]].split()
+                out.append(make(doc_id, ws, gone[s.first[i] : s.first[i + 1]] if gone is not None else np.zeros(len(ws), bool)))
         return pa.Table.from_pylist(out, kind)
 
     return run
@@ -182,7 +213,7 @@ DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _digest(doc_id, ws, gone):
-    kept = [w for w, g in zip(ws, gone) if not g] if gone.any() else ws
+    kept = [w for w, g in zip(ws, gone.tolist()) if not g] if gone.any() else ws
     return {"doc_id": doc_id, "n_words": len(ws), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest()}
 
 
@@ -198,24 +229,27 @@ def dedupe(spark: SparkSession, documents: DataFrame, width: int = WIDTH, digest
     """A row for each row of documents: its repeats as word spans and the kept words, or digests of them.
 
     A word goes if a window over it also starts in a document with a smaller id; null ids are above all others,
-    rows of one id do not repeat each other, null texts have no words. Other columns are not read.
+    rows of one id do not repeat each other, null and empty texts have no words, an empty table gives none. A text of
+    any length is one document of one slice. Other columns are not read. Nothing but the result is left in the shared folder.
     """
+    from pyspark.sql import functions as F
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    buckets = groups_for(documents, BUCKET_BYTES, 64)
-    sliced = stored_slices(spark, documents, SLICE_BYTES)
-    active = materialize(spark, _probes(sliced, width, buckets).groupBy("bucket").applyInArrow(_active, FOUND), "substring-hits")
-    free_shuffles(spark)
-    sent = sliced.groupBy("slice_id").cogroup(active.groupBy("slice_id")).applyInArrow(_candidates(width, buckets), SENT)
-    elsewhere = materialize(spark, sent.groupBy("bucket").applyInArrow(_elsewhere, FOUND), "substring-repeats")
-    discard(spark, active)
-    free_shuffles(spark)
     schema = DIGEST if digests else SPANS
     kind = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    return sliced.groupBy("slice_id").cogroup(elsewhere.groupBy("slice_id")).applyInArrow(_finish(width, kind, _digest if digests else _spans), schema)
+    ways, tasks = digits(groups_for(documents, BUCKET_BYTES, 64)), relay_tasks(documents)
+    first, second = Anchors(ways), Repeats(ways)
+    with Workspace(spark, "substrings") as workspace:
+        sliced = stored_slices(workspace, documents, SLICE_BYTES)
+        _, hits = first.run(workspace, sliced.mapInArrow(_probe(width, first), ROW), "anchors", tasks)
+        sent = sliced.groupBy("slice_id").cogroup(hits.groupBy("source")).applyInArrow(_extend(width, first, second), ROW)
+        _, repeats = second.run(workspace, sent, "repeats", tasks)
+        both = hits.withColumn("step", F.lit(1)).unionByName(repeats.withColumn("step", F.lit(2)))
+        return workspace.result(sliced.groupBy("slice_id").cogroup(both.groupBy("source")).applyInArrow(_finish(width, first, second, kind, _digest if digests else _spans), schema))
 
 
 def op4_substring_dedup(spark, sf_dir):
+    """Null and empty texts have no words and lose none; a repeated row is not a repeat of itself; see dedupe()."""
     return dedupe(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
 
 

@@ -1,7 +1,9 @@
 """Operator 9: a deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted, each task rolls its files by compressed size under temporary names, and the files of the
-attempts that the manifest names are renamed when all are written. Headers and digests are made anew.
+Records lie in the order of (page_id, url, digest, number among equal rows). Shards are runs of cells of page_id whose
+borders follow from exact sums of bytes, so the same rows give the same files whatever their layout. Tasks roll the
+files of a shard by compressed size under temporary names, and the files of the attempts that the manifest names are
+renamed when all are written. Headers and digests are made anew.
 """
 
 from __future__ import annotations
@@ -19,12 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, groups_for, materialize, table
+from ..sources.shared import until_exit
+from .common import Workspace, fresh_path, table, written
 
 #: Files are closed at the first record that ends beyond so many compressed bytes.
 ROLL_BYTES = 64 << 20
-#: About so many bytes of input for each shard.
-SHARD_BYTES = 16 << 20
+#: About so many bytes of records for each shard, and the most shards beside those that a heavy cell is split into.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
+#: The most cells that the range of page_id is cut into; what a record has beside its payload, about.
+CELLS, HEAD_BYTES = 16_384, 700
+#: Equal rows beyond so many are dealt to shards of their own. A key with a larger share of all rows than 1 / HEAVY is heavy.
+CHUNK, HEAVY = 1 << 16, 4096
 #: Every record's date: a parameter, so that the same pages give the same bytes.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,8 +43,8 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_id(page_id, row: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{row}')}>"
+def record_id(page_id, url, digest: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr(('page', page_id, url, digest, number)))}>"
 
 
 def _block(fields: list[tuple[str, str]], body: bytes) -> bytes:
@@ -51,43 +58,88 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def page_record(page_id, row: int, url, payload: bytes, first: dict | None, date: str = DATE) -> bytes:
-    """A response, or a revisit of the record that `first` describes."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = http if first else http + payload
+def page_record(page_id, url, number: int, digest: str, length: int, payload: bytes | None, first: tuple | None = None, date: str = DATE) -> bytes:
+    """A response with its payload, or without one a revisit of the record of the page and address `first`.
+
+    digest: SHA-1 of the payload in hexadecimal digits; number: of the record among those of equal rows.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+    body = http if payload is None else http + payload
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
-    fields = [("WARC-Type", "revisit" if first else "response"), ("WARC-Record-ID", record_id(page_id, row)), ("WARC-Date", date), ("WARC-Target-URI", target), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + base32(hashlib.sha1(payload).digest())), ("WARC-Block-Digest", "sha1:" + base32(hashlib.sha1(body).digest()))]
+    fields = [("WARC-Type", "revisit" if payload is None else "response"), ("WARC-Record-ID", record_id(page_id, url, digest, number)), ("WARC-Date", date), ("WARC-Target-URI", target), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + base32(bytes.fromhex(digest))), ("WARC-Block-Digest", "sha1:" + base32(hashlib.sha1(body).digest()))]
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
-    if first:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first["page_id"], first["row"])), ("WARC-Refers-To-Date", date)]
-        if first["page_id"] is not None:
-            fields.append(("X-Refers-To-Page-ID", str(first["page_id"])))
+    if payload is None:
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(*first, digest, 0)), ("WARC-Refers-To-Date", date)]
+        if first[0] is not None:
+            fields.append(("X-Refers-To-Page-ID", str(first[0])))
     return _block(fields, body)
 
 
-def keyed(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id())
+KEY = ("page_id", "url", "digest")
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(html).alias("digest"), html.alias("html"))
 
 
-def revisits(rows: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, row and the first record of the same payload, for each row that is not the first itself.
+def roles(rows: DataFrame, least: int = 0) -> DataFrame:
+    """For each distinct row (page_id, url, digest): n, how many there are; length of the payload; and, from `least`
+    bytes on, the page and address of the first row of that payload, and whether it is this one.
 
-    First is the smallest page_id (null last), then url, then row. Only digests move, not payloads, and the
-    first of each payload is found by partial aggregates, so a payload that many pages share costs a row a task.
+    First is the smallest page_id (null last), then url. Only digests move, not payloads, and partial aggregates
+    leave one row of a repeated key or payload in a task.
     """
-    small = rows.where(F.octet_length("html") >= least).select("page_id", "url", "row", F.sha1("html").alias("digest"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "row")
-    first = small.groupBy("digest").agg(F.min(order).alias("first"))
-    return small.join(first, "digest").where(F.col("first.row") != F.col("row")).select("page_id", "url", "row", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"))
+    keys = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.octet_length("html")).cast("long").alias("length"))
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
+    first = keys.where(F.col("length") >= least).groupBy("digest").agg(F.min(place).alias("first"))
+    return keys.join(first, "digest", "left").select(*KEY, "n", "length", F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url"), place.eqNullSafe(F.col("first")).alias("is_first"), F.col("first").isNull().alias("small"))
 
 
-def sorted_records(pages: DataFrame, shards: int, least: int = 0) -> DataFrame:
-    """Payload rows in range order, each after the row that calls it a revisit, if there is one."""
-    rows = keyed(pages)
-    body = rows.select("page_id", "url", "row", F.lit(None).cast("long").alias("first_page"), F.lit(None).cast("long").alias("first_row"), "html")
-    role = revisits(rows, least).withColumn("html", F.lit(None).cast("string"))
-    return role.unionByName(body).repartitionByRange(shards, "page_id", "url", "row").sortWithinPartitions("page_id", "url", "row", F.col("html").isNotNull())
+def cells_of(keys: DataFrame, each: int, shards: int | None):
+    """(the cell of a page_id as a column, [(cell, its first shard, the number of its shards)], rows); at most CELLS + 3 cells.
+
+    Cells are equally wide; a shard takes neighbouring ones up to `each` bytes, and a cell beyond that has several shards.
+    """
+    weight = F.col("n") * HEAD_BYTES + F.when(F.col("is_first"), F.col("length")).when(F.col("small"), F.col("length") * F.col("n")).otherwise(0)
+    low, high, total, rows = keys.agg(F.min("page_id"), F.max("page_id"), F.sum(weight), F.sum("n")).first()
+    width = 1 if low is None else max(1, -(-(high - low + 1) // CELLS))
+    cell = F.coalesce(F.expr(f"page_id div {width}L"), F.lit(1 << 62))
+    each = max(1, -(-total // shards)) if shards and total else max(each, -(-(total or 0) // MOST_SHARDS))
+    out, shard, held = [], 0, 0
+    for c, w in sorted(keys.groupBy(cell.alias("cell")).agg(F.sum(weight).alias("w")).collect()):
+        if held and held + w > each:
+            shard, held = shard + 1, 0
+        many = -(-w // each) if w > each else 1
+        out.append((c, shard, many))
+        if many > 1:
+            shard, held = shard + many, 0
+        else:
+            held += w
+    return cell, out, rows or 0
+
+
+def sorted_records(workspace: Workspace, pages: DataFrame, shards: int | None = None, least: int = 0) -> DataFrame:
+    """Rows by shard and key: a key's payload (kind 0), then its runs of records (kind 1: the first number, and how many)."""
+    spark = pages.sparkSession
+    rows = payloads(pages)
+    keys = workspace.table(roles(rows, least), "keys")
+    cell, found, total = cells_of(keys, SHARD_BYTES, shards)
+    borders = F.broadcast(spark.createDataFrame(found, "cell long, shard long, many long"))  # at most CELLS + 3 rows
+    # a heavy key's payload is wanted once, so its rows meet in partial aggregates; there are at most HEAVY such keys
+    heavy = keys.where((F.col("n") * HEAVY > total) & (F.col("n") > 1)).select(*(F.col(k).alias(f"heavy_{k}") for k in KEY))
+    same = F.lit(True)
+    for k in KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"heavy_{k}"))
+    once = rows.join(F.broadcast(heavy), same, "left_semi").groupBy(*KEY).agg(F.min("html").alias("html"))
+    body = rows.join(F.broadcast(heavy), same, "left_anti").unionByName(once).withColumns({"kind": F.lit(0), "number": F.lit(0).cast("long")})
+    runs = keys.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))).withColumn("n", F.least(F.col("n") - F.col("number"), F.lit(CHUNK).cast("long"))).withColumn("kind", F.lit(1))
+    both = body.unionByName(runs, allowMissingColumns=True).withColumn("cell", cell).join(borders, "cell")
+    dealt = F.pmod(F.xxhash64("url", "digest", F.when(F.coalesce("small", F.lit(False)), 0).otherwise(F.col("number"))), "many")
+    order = ["shard", F.col("page_id").isNull(), "page_id", "url", "digest", "kind", "number"]
+    number = max([shard + many for _, shard, many in found], default=1)
+    return both.withColumn("shard", F.col("shard") + dealt).drop("cell", "many").repartitionByRange(number, "shard").sortWithinPartitions(*order)
 
 
 @dataclass
@@ -124,7 +176,9 @@ class _Roll:
 def write(spark: SparkSession, pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shards: int | None = None, least: int = 0) -> DataFrame:
     """Write the archives into `folder` (a URI that driver and executors share) and return their manifest.
 
-    A failed or repeated attempt leaves only temporary files, which go at the end; the manifest names every archive.
+    The same rows give the same files. A failed or repeated attempt leaves only temporary files, which go at the end;
+    the manifest names every archive. Null pages and addresses are written without them, a null html is an empty payload,
+    an empty table makes no file. Equal rows, and rows with equal payloads of `least` bytes, are revisits of the first.
     """
     from pyarrow import fs
 
@@ -132,26 +186,35 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, roll: int = ROLL_B
 
     def run(batches):
         files, root = fs.FileSystem.from_uri(folder)
-        task = TaskContext.get()
-        to, first = _Roll(files, root, task.partitionId(), f"{task.taskAttemptId()}-{uuid.uuid4().hex}"), None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["html"] is None:
-                    first = {"page_id": r["first_page"], "row": r["first_row"], "of": r["row"]}
+        attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
+        to, payload, of = None, None, None
+        for b in batches:
+            for r in b.to_pylist():
+                key = r["page_id"], r["url"], r["digest"]
+                if r["kind"] == 0:
+                    if of != key:
+                        payload, of = r["html"].encode("utf-8"), key
                     continue
-                if to.out is None:
-                    to.open()
-                to.write(page_record(r["page_id"], r["row"], r["url"], r["html"].encode("utf-8"), first if first and first["of"] == r["row"] else None))
-                first = None
-                if to.bytes >= roll:
-                    yield pa.RecordBatch.from_pylist([to.close()], kind)
-        if to.out is not None:
+                if to is None or to.shard != r["shard"]:
+                    if to is not None and to.out is not None:
+                        yield pa.RecordBatch.from_pylist([to.close()], kind)
+                    to = _Roll(files, root, r["shard"], attempt)
+                for number in range(r["number"], r["number"] + r["n"]):
+                    if to.out is None:
+                        to.open()
+                    response = r["small"] or (r["is_first"] and number == 0)
+                    if response and of != key:
+                        raise ValueError(f"page {r['page_id']} has no payload")
+                    to.write(page_record(r["page_id"], r["url"], number, r["digest"], r["length"], payload if response else None, (r["first_page"], r["first_url"])))
+                    if to.bytes >= roll:
+                        yield pa.RecordBatch.from_pylist([to.close()], kind)
+        if to is not None and to.out is not None:
             yield pa.RecordBatch.from_pylist([to.close()], kind)
 
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(f"{root}/_temporary", recursive=True)
-    records = sorted_records(pages, shards or groups_for(pages, SHARD_BYTES), least)
-    manifest = materialize(spark, records.mapInArrow(run, MANIFEST), "warc-manifest")
+    with Workspace(spark, "warc") as workspace:
+        manifest = written(sorted_records(workspace, pages, shards, least).mapInArrow(run, MANIFEST), "warc-manifest")
     _commit(manifest, folder)
     files.delete_dir(f"{root}/_temporary")
     return manifest
@@ -225,9 +288,12 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op9_warc(spark, sf_dir):
-    """A null html is an empty payload; repeated rows are records of their own, the first of them the response."""
-    folder = fresh_path(spark, "warc")
-    return read(spark, write(spark, table(spark, sf_dir, "pages"), folder), folder)
+    """A null html is an empty payload; repeated rows are records of their own, the first of them the response. The
+    archives are read back when the result is; they go when the driver ends."""
+    folder = fresh_path(spark, "warc-archives")
+    manifest = write(spark, table(spark, sf_dir, "pages"), folder)
+    until_exit(spark, folder)
+    return read(spark, manifest, folder)
 
 
 ORACLE_SQL = """

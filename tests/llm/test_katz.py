@@ -6,8 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from halyard.llm import katz
-from halyard.llm.common import held_out
+from halyard.llm import exchange, katz
+from halyard.llm.common import Workspace, held_out
 
 
 def plain(rows, order):
@@ -57,26 +57,32 @@ def plain(rows, order):
     return out, norm
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_the_plain_model(spark, order):
+@pytest.mark.parametrize("order, ways", [(1, 0), (2, 0), (3, 0), (2, 8), (3, 4)])
+def test_scores_equal_the_plain_model(spark, monkeypatch, order, ways):
     pick = random.Random(order)
     vocabulary = [f"w{k}" for k in range(60)] + ["A", "é", "A"]
     rows = [(i, " ".join(pick.choices(vocabulary, weights=[1 / (k + 1) for k in range(63)], k=pick.randint(0, 40)))) for i in range(250)]
     rows += [(7, "new words Here"), (7, "new words Here"), (300, None), (301, ""), (302, "w1 w2 " * 3000)]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
-    scores, tables, model = katz.train_and_score(spark, df, order)
-    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in scores.collect())
+    if ways:  # more buckets than ways: records go through relays
+        monkeypatch.setattr(exchange, "FIRST", ways)
+        monkeypatch.setattr(exchange, "WAYS", ways)
+        monkeypatch.setattr(exchange, "RELAY_RECORDS", 700)
+        monkeypatch.setattr(katz, "SLICE_BYTES", 2000)
+    with Workspace(spark, "test") as workspace:
+        scores, tables, model = katz.fit_and_score(workspace, df, order)
+        got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in scores.collect())
+        assert len(tables) == order and all(t.where("kind = 'model'").count() for t in tables)
     expected, norm = plain(rows, order)
     assert len(got) == len(rows)
     for a, b in zip(got, sorted(expected)):
         assert a[:4] == b[:4]
         assert a[4:] == pytest.approx(b[4:], rel=1e-9)
     assert norm == pytest.approx([1.0] * len(norm), abs=1e-9)
-    assert len(tables) == 1 + katz.TURNS * (order - 1) and all(t.where("kind = 'model'").count() for t in tables)
 
 
 def test_edges(spark):
     schema = "doc_id long, text string"
-    assert katz.train_and_score(spark, spark.createDataFrame([], schema))[0].count() == 0
-    only = katz.train_and_score(spark, spark.createDataFrame([(None, "a b")], schema))[0].first()
+    assert katz.train_and_score(spark, spark.createDataFrame([], schema)).count() == 0
+    only = katz.train_and_score(spark, spark.createDataFrame([(None, "a b")], schema)).first()
     assert (only.train_tokens, only.base_score, only.score, only.held_out) == (0, 0.0, 0.0, True)
