@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Workspace, groups_for, held_out, held_out_column, mix, span_hashes, table, word_spans
+from .common import LOWER, U64, Workspace, groups_for, held_out, held_out_column, mix, order_of, span_hashes, table, word_spans
 from .exchange import LOW48, ROW, Round, batch, decode, digits, encode, relay_tasks, rows, runs, spread, stored_slices
 
 ORDER = 2
@@ -99,7 +99,7 @@ class Words(Round):
     level = 1
 
     def merge(self, columns, hop):
-        order = np.lexsort((columns["word"], columns["bucket"]))
+        order = order_of(columns["bucket"], columns["word"])
         bucket, word = columns["bucket"][order], columns["word"][order]
         start = np.append(0, np.flatnonzero((word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1])) + 1)
         inverse = np.empty(len(order), np.int64)
@@ -140,7 +140,7 @@ class Grams(Round):
         self.spec = {"history": "runs48", "word": "key40", "count": "small", "lower": "small" if level == 2 else "real", "asked": "flag"}
 
     def merge(self, columns, hop):
-        order = np.lexsort((columns["word"], columns["history"], columns["bucket"]))
+        order = order_of(columns["bucket"], columns["history"], columns["word"])
         bucket, history, word = (columns[c][order] for c in ("bucket", "history", "word"))
         new = np.append(True, (history[1:] != history[:-1]) | (bucket[1:] != bucket[:-1]))
         start = np.flatnonzero(new | np.append(True, word[1:] != word[:-1]))
@@ -232,7 +232,7 @@ class _Slice:
         x = self.level(number)
         if number == 1:
             bucket = spread(self.keys[x.word], model.buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = order_of(bucket)
             return {"bucket": bucket[order], "word": self.keys[x.word][order], "count": x.local[order]}, order, None
         counts, keys = self.history_counts(number, evaluated), self.history_key[number - 1]
         asked = np.zeros(len(keys), bool)
@@ -247,7 +247,7 @@ class _Slice:
         history = np.append(x.history, query)
         bucket = np.append(dealt(x.history, ((self.keys[x.word] >> U64(50)) % parts[x.history].astype(U64)).astype(np.int64)), dealt(query, part))
         lower = evaluated[number - 2][0 if number == 2 else 1][x.some]
-        order = np.lexsort((history, bucket))
+        order = order_of(bucket, history)
         history, bucket = history[order], bucket[order]
         head = np.append(True, (history[1:] != history[:-1]) | (bucket[1:] != bucket[:-1])) & asked[history]
         columns = {"bucket": bucket, "history": keys[history] & LOW48, "word": np.append(self.keys[x.word] & LOW40, none.astype(U64))[order], "count": np.append(x.local, none)[order], "lower": np.append(lower, none)[order], "asked": head}

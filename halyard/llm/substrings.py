@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, Workspace, groups_for, span_hashes, table, windows, word_spans
+from .common import U64, Workspace, groups_for, order_of, span_hashes, table, windows, word_spans
 from .exchange import LOW48, NO_ID, ROW, Round, batch, digits, relay_tasks, rows, runs, spread, stored_slices
 
 WIDTH = 13
@@ -44,13 +44,13 @@ class Anchors(Round):
         key, ids = np.append(key, key[two]), np.append(top, low[two])
         flag = np.append((low == top) & (low < NO_ID), np.ones(two.sum(), bool))
         bucket = spread(key, self.buckets)
-        order = np.lexsort((ids, self.place(bucket, hop)))
+        order = order_of(self.place(bucket, hop), ids)
         at = np.empty(len(order), np.int64)
         at[order] = np.arange(len(order))
         return {"bucket": bucket[order], "key": key[order], "id": ids[order], "flag": flag[order]}, at[: len(top)]
 
     def merge(self, columns, hop):
-        order = np.argsort(columns["key"], kind="stable")
+        order = order_of(columns["key"])
         key, ids = columns["key"][order], columns["id"][order]
         start = runs(key)
         low = np.minimum.reduceat(np.where(columns["flag"][order], ids, NO_ID), start)
@@ -60,7 +60,7 @@ class Anchors(Round):
         return merged, inverse, {}
 
     def settle(self, merged, place):
-        order = np.argsort(merged["key"], kind="stable")
+        order = order_of(merged["key"])
         start = runs(merged["key"][order])
         ids = merged["id"][order]
         low = np.minimum.reduceat(np.where(merged["flag"][order], ids, NO_ID), start)
@@ -79,12 +79,12 @@ class Repeats(Round):
     routed = "key"
 
     def merge(self, columns, hop=0):
-        order = np.lexsort((columns["id"], columns["more"], columns["key"]))
+        order = order_of(columns["key"], columns["more"], columns["id"])
         key, more, ids = (columns[c][order] for c in ("key", "more", "id"))
         start = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (more[1:] != more[:-1])) + 1)
         length = np.diff(np.append(start, len(order)))
         merged = {"bucket": spread(key[start], self.buckets), "key": key[start], "more": more[start], "id": ids[start]}
-        again = np.lexsort((merged["id"], self.place(merged["bucket"], hop)))
+        again = order_of(self.place(merged["bucket"], hop), merged["id"])
         at = np.empty(len(start), np.int64)
         at[again] = np.arange(len(start))
         inverse, larger = np.empty(len(order), np.int64), np.empty(len(order), bool)
@@ -128,7 +128,7 @@ class _Slice:
         key = windows(self.hashes, block)[start] & LOW48 if len(start) else np.empty(0, U64)
         ids = self.ids[self.doc[start]]
         indexed = (start - self.first[self.doc[start]]) % block == 0
-        order = np.argsort(key, kind="stable")
+        order = order_of(key)
         k, d = key[order], ids[order]
         cut = runs(k)
         if not len(cut):
