@@ -9,6 +9,7 @@ from ..functions import bits, clocks, texts, vectors
 from ..sources.shared import written
 from .graph import labelled
 
+SEGMENT = ["tier", "aware", "segment_start"]
 GAP_US, COARSE_US, SPAN_US = 120 * 60 * 10**6, 240 * 60 * 10**6, 18 * 3600 * 10**6
 
 
@@ -110,26 +111,52 @@ def overlay(assigned: DataFrame, overrides: DataFrame) -> DataFrame:
     return both.withColumn("event_id", F.when(holds, F.col("_event")).otherwise(F.col("event_id"))).withColumn("source", F.when(holds, "manual").when(F.col("_has"), "conflict").otherwise("automatic")).drop("_print", "_event", "_has")
 
 
-def density_edges(df: DataFrame, epsilon: float, window_us: int = COARSE_US, visual: float = 0.3, temporal: float = 0.7, neighbours: int = 64) -> DataFrame:
-    """Edges of the bounded time graph: rows with vectors, of one tier, awareness and run, at most `neighbours` places
-    and window_us apart, whose weighted distance of vector and clock is at most epsilon."""
-    rows = gap_runs(df.where(F.col("vector").isNotNull()), window_us)
-    key = ["tier", "aware", "run"]
+def density_edges(df: DataFrame, epsilon: float, window_us: int = COARSE_US, visual: float = 0.3, temporal: float = 0.7, neighbours: int = 64, key: list[str] = SEGMENT) -> DataFrame:
+    """Edges of the bounded time graph: rows with vectors, of one window (key), at most `neighbours` places and window_us
+    apart, whose weighted distance of vector and clock is at most epsilon. temporal = 0: by vectors alone, at any gap."""
+    rows = df.where(F.col("vector").isNotNull())
     ranked = rows.select(*key, "id", "clock_us", vectors.normalized("vector").alias("v"), F.row_number().over(Window.partitionBy(*key).orderBy("clock_us", "id")).alias("place"))
-    ahead = ranked.withColumn("place", F.explode(F.sequence(F.greatest(F.col("place") - neighbours, F.lit(1)), F.greatest(F.col("place") - 1, F.lit(1))))).where("true")
-    pairs = ranked.alias("l").join(ahead.alias("r"), [*key, "place"]).where((F.col("l.clock_us") <= F.col("r.clock_us")) & (F.col("l.id") != F.col("r.id")))
-    delta = (F.col("r.clock_us") - F.col("l.clock_us")) / window_us
-    distance = visual * F.greatest(F.lit(0.0), 1 - vectors.dot("l.v", "r.v")) + temporal * delta
-    return pairs.where(delta <= 1).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), distance.alias("distance")).where(F.col("distance") <= epsilon)
+    before = ranked.where("place > 1").withColumn("place", F.explode(F.sequence(F.greatest(F.col("place") - neighbours, F.lit(1)), F.col("place") - 1)))
+    pairs = ranked.alias("l").join(before.alias("r"), [*key, "place"])
+    visually = visual * F.greatest(F.lit(0.0), 1 - vectors.dot("l.v", "r.v"))
+    if temporal:
+        delta = F.abs(F.col("r.clock_us") - F.col("l.clock_us")) / window_us
+        pairs, distance = pairs.where(delta <= 1), visually + temporal * delta
+    else:
+        distance = visually
+    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), distance.alias("distance")).where(F.col("distance") <= epsilon)
+
+
+def truncated(df: DataFrame, neighbours: int = 64, key: list[str] = SEGMENT) -> DataFrame:
+    """Windows (key) in which some row has more rows behind it than density_edges looks at: their members need a review."""
+    return df.where(F.col("vector").isNotNull()).groupBy(*key).agg((F.count("*") > neighbours + 1).alias("truncated"))
 
 
 def density_clusters(nodes: DataFrame, edges: DataFrame, min_samples: int = 2) -> DataFrame:
-    """id, cluster (its smallest core, null: noise): cores have min_samples rows within reach, themselves counted;
-    a row that is no core joins the first cluster of a core that reaches it."""
+    """id, cluster (the id of its first core by clock and id, null: noise): cores have min_samples rows within reach,
+    themselves counted; a row that is no core joins the earliest of the clusters whose cores reach it.
+
+    nodes: id, clock_us (null counts as the earliest).
+    """
+    node = F.struct(F.coalesce("clock_us", F.lit(-(1 << 62))).alias("at"), "id")
+    nodes = nodes.select("id", node.alias("node"))
     both = edges.select("a", "b").union(edges.select("b", "a"))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    core = nodes.select("id").join(degree, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
-    inner = edges.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    clusters = labelled(core, inner.select(F.col("a").alias("u"), F.col("b").alias("v")), label="cluster")
+    core = nodes.join(degree, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id", "node")
+    inner = edges.join(core.select(F.col("id").alias("a"), F.col("node").alias("u")), "a").join(core.select(F.col("id").alias("b"), F.col("node").alias("v")), "b")
+    clusters = labelled(core, inner.select("u", "v"), key="node", label="cluster")
     reach = both.join(clusters.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("border"))
-    return nodes.select("id").join(clusters, "id", "left").join(reach, "id", "left").select("id", F.coalesce("cluster", "border").alias("cluster"))
+    return nodes.select("id").join(clusters.select("id", "cluster"), "id", "left").join(reach, "id", "left").select("id", F.coalesce("cluster", "border")["id"].alias("cluster"))
+
+
+def density_assignments(df: DataFrame, clustered: DataFrame, dense: DataFrame, key: list[str] = SEGMENT) -> DataFrame:
+    """id, cluster, status and reason of every row of df (id, tier, clock_us, vector, key columns; key null without a clock)."""
+    rows = df.join(clustered, "id", "left").join(dense, key, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    known = F.col("cluster").isNotNull()
+    return rows.select(
+        "id", "cluster",
+        F.when(~known, "UNASSIGNED").when((F.col("tier") != "exif_timezone") | F.col("truncated"), "LOW_CONFIDENCE").otherwise("EVENT_MEMBER").alias("status"),
+        F.when(F.col("clock_us").isNull(), "No usable timestamp").when(F.col("vector").isNull(), "No vector").when(~known, "Too few rows near by in time and looks")
+        .when(F.col("tier") == "filesystem", "Filesystem timestamp can reflect copying").when(F.col("tier") == "exif_naive", "EXIF has no timezone; camera clocks may differ")
+        .when(F.col("truncated"), "Dense window: the search for neighbours was bounded").otherwise("Near in time and looks").alias("reason"),
+    )

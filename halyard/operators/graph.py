@@ -22,6 +22,14 @@ def _walk(batches):
     import pandas as pd
 
     parent: dict = {}
+    named: dict = {}
+
+    def key(x):  # a struct comes as a dictionary, which is no key
+        if isinstance(x, dict):
+            found = tuple(x.values())
+            named.setdefault(found, x)
+            return found
+        return x
 
     def top(x):
         while parent.setdefault(x, x) != x:
@@ -31,13 +39,13 @@ def _walk(batches):
 
     for pdf in batches:
         for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
-            u, v = top(u), top(v)
+            u, v = top(key(u)), top(key(v))
             if u != v:
                 parent[max(u, v)] = min(u, v)
     found = [(x, top(x)) for x in list(parent)]
     found = [(x, t) for x, t in found if x != t]
     if found:
-        yield pd.DataFrame({"u": [x for x, _ in found], "v": [t for _, t in found]})
+        yield pd.DataFrame({"u": [named.get(x, x) for x, _ in found], "v": [named.get(t, t) for _, t in found]})
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

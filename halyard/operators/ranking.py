@@ -130,14 +130,35 @@ def shortlist(df: DataFrame, key: list[str], k: int, w: Weights = Weights()) ->
     return df.select(*key, "id", "score", "quality", "raw_rank", "region", "f", "groups").groupBy(*key).applyInPandas(greedy, schema)
 
 
-def best(df: DataFrame, k: int, w: Weights = Weights(), dimensions: int = 64) -> DataFrame:
-    """The greedy choice over a whole library: each of k rounds is one distributed pass.
+#: Rows that best() sends to the driver before it turns to distributed rounds.
+CANDIDATES = 4096
 
-    A pass brings similarities up to date with the last pick and observes the best row; only that row moves.
-    df: id, score, quality, raw_rank, region, f, groups.
+
+def best(df: DataFrame, k: int, w: Weights = Weights(), dimensions: int = 64, most: int | None = None) -> DataFrame:
+    """The greedy choice over a whole library; df: id, score, quality, raw_rank, region, f, groups.
+
+    A row never gets more than its score and the bonus. So the choice is made among the `most` rows with the most to
+    gain (CANDIDATES; a bounded number, in one pass), and it stands if every pick beats what any other row can reach.
+    Otherwise k distributed rounds choose, with the same rows.
     """
-    spark, b = df.sparkSession, w.variant == "B"
-    now, last = df.select("id", "score", "quality", "raw_rank", "region", "f", "groups").withColumn("similar", F.lit(0.0)), None
+    b = w.variant == "B"
+    rows = df.select("id", "score", "quality", "raw_rank", "region", "f", "groups")
+    reach = F.col("score") + (F.when(F.col("quality") >= w.floor, w.coverage).otherwise(0.0) if b else F.lit(0.0))
+    most = CANDIDATES if most is None else most
+    if most:
+        some = [r.asDict() for r in rows.withColumn("reach", reach).orderBy(F.desc("reach"), "id").limit(most + 1).collect()]
+        beyond = some[most]["reach"] if len(some) > most else None
+        picks = pick([r | {"groups": r["groups"] or []} for r in some[:most]], k, w)
+        if beyond is None or (len(picks) == k and all(value > beyond for _, _, value, _ in picks)):
+            return df.sparkSession.createDataFrame(picks, "rank int, id string, selection_score double, similarity double")
+    return _rounds(rows, k, w, dimensions)
+
+
+def _rounds(rows: DataFrame, k: int, w: Weights, dimensions: int) -> DataFrame:
+    """Each of k rounds is one distributed pass: it brings similarities up to date with the last pick and observes the
+    best row; only that row moves."""
+    spark, b = rows.sparkSession, w.variant == "B"
+    now, last = rows.withColumn("similar", F.lit(0.0)), None
     regions, picks = [], []
     while len(picks) < k:
         bonus = F.when((F.col("quality") >= w.floor) & ~(F.col("region").isin(regions) if regions else F.lit(False)), w.coverage).otherwise(0.0) if b else F.lit(0.0)

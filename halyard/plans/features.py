@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from ..functions import clocks, vectors
-from ..operators import candidates, detection, evidence, grouping, measures
+from ..operators import candidates, detection, evaluation, evidence, grouping, measures
 from ..sources import bridge
 
 #: The test tables have few pairs within the usual thresholds, so these are wider.
@@ -86,6 +86,11 @@ def pair_verdicts(spark, sf_dir):
     return pairs(spark, sf_dir).select("a", "b", "phash", "dhash", "ahash", F.round("aspect", 6).alias("aspect"), F.round("area_ratio", 6).alias("area_ratio"), F.round("correlation", 6).alias("correlation"), F.round("chroma", 6).alias("chroma"), F.round("gap_s", 3).alias("gap_s"), "sequence_gap", "near", "burst", "relationship", "reliability")
 
 
+def pair_reasons(spark, sf_dir):
+    """Why each pair was called what it is called, and what to mind."""
+    return evidence.explained(pairs(spark, sf_dir), WIDE).select("a", "b", "relationship", "reason", F.array_join("warnings", "; ").alias("warnings"))
+
+
 def near_groups_complete_link(spark, sf_dir):
     return grouping.complete_link(pairs(spark, sf_dir).where("near").select("a", "b"))
 
@@ -103,7 +108,7 @@ def detection_statistics(spark, sf_dir):
 
 
 def hybrid_recovery(spark, sf_dir):
-    """Pairs that only their vectors (here the hashes again) show to be near, of all rows; its SQL has those without an EXIF clock."""
+    """Pairs that only their vectors (here the hashes again) show to be near, of all rows."""
     strict = dataclasses.replace(WIDE, phash=1, recovery_cosine=0.7, recovery_correlation=0.7, recovery_hash=24)
     rows = verified(hashed(spark, sf_dir)).withColumn("vector", F.col("gray"))
     found = candidates.hamming_pairs(rows, strict.recovery_phash).select("a", "b")
@@ -119,7 +124,42 @@ def projection_knn(spark, sf_dir):
     return candidates.projection_neighbours(bridge.vectors(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES = [quality_score, quality_warnings, quality_histogram, capture_clock, exact_groups, exact_groups_blocked, representatives, reclaimable_bytes, near_candidates_r8, burst_candidates, pair_verdicts, near_groups_complete_link, detection_groups, detection_statistics, hybrid_recovery, cosine_topk, projection_knn]
+def detection_evidence(spark, sf_dir):
+    """Each group's pairs, or the star about its representative for equal content, as numbers."""
+    found = _detected(spark, sf_dir)
+    return found["distances"].join(found["groups"].groupBy("type", "group").agg(F.count("*").alias("members"), F.first("representative").alias("representative")), ["type", "group"])
+
+
+def suppressed_groups(spark, sf_dir):
+    """Detection once more, without the near groups of the first run whose first member's number is even."""
+    rows = verified(hashed(spark, sf_dir))
+    first = detection.detect(rows, WIDE)["groups"].where("type = 'NEAR_DUPLICATE'")
+    named = detection.signatures(first.join(rows.select("id", "fingerprint"), F.col("member") == F.col("id")), ["type", "group"])
+    hidden = named.where(F.col("group").cast("long") % 2 == 0)
+    return detection.detect(rows, WIDE, suppressed=hidden)["groups"]
+
+
+def _labelled_pairs(spark, sf_dir):
+    """Verdicts with labels that look at fewer signs than they do."""
+    found = pairs(spark, sf_dir)
+    label = F.when(F.col("phash") <= 2, "NEAR_DUPLICATE").when(F.col("gap_s") <= 60, "BURST").otherwise("UNRELATED")
+    return found.withColumn("label", label).withColumn("split", F.when(F.crc32(F.col("a").cast("binary")) % 2 == 0, "development").otherwise("held_out"))
+
+
+def grouped_metrics(spark, sf_dir):
+    """How far pairs that share a group are what their labels say."""
+    found = evaluation.grouped_metrics(evaluation.grouped(_labelled_pairs(spark, sf_dir), detection_groups(spark, sf_dir)))
+    return found.select("metric", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes if c != "metric"])
+
+
+def pair_report(spark, sf_dir):
+    """The labelled pairs as a report's rows."""
+    from ..sources.exports import pair_report as report
+
+    return report(evaluation.grouped(_labelled_pairs(spark, sf_dir), detection_groups(spark, sf_dir)).withColumn("correlation", F.round("correlation", 6)))
+
+
+QUERIES = [quality_score, quality_warnings, quality_histogram, capture_clock, exact_groups, exact_groups_blocked, representatives, reclaimable_bytes, near_candidates_r8, burst_candidates, pair_verdicts, near_groups_complete_link, detection_groups, detection_statistics, hybrid_recovery, cosine_topk, projection_knn, pair_reasons, detection_evidence, suppressed_groups, grouped_metrics, pair_report]
 
 A, H = "WITH " + bridge.ORACLE_ASSET, "WITH " + bridge.ORACLE_ASSET + ", " + bridge.ORACLE_HASH
 HAM = lambda n: f"CAST(bit_count(xor(l.{n}_hi, r.{n}_hi)) + bit_count(xor(l.{n}_lo, r.{n}_lo)) AS INT)"
@@ -138,8 +178,9 @@ _PAIRS = f""", j AS (SELECT l.id AS a, r.id AS b, l.sha256 AS sa, r.sha256 AS sb
   coalesce(textured AND gap_s <= 900 AND phash <= 28 AND dhash <= 40 AND ahash <= 40 AND aspect <= 1 AND correlation >= 0 AND chroma <= 1, false) AS burst FROM g)"""
 _CANON = ", firsts AS (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY coalesce(sha256, 'missing:' || id) ORDER BY quality DESC, CAST(width AS BIGINT) * height DESC, sharpness DESC, exposure DESC, id) = 1), canon AS (SELECT * FROM firsts WHERE entropy_bits >= 3 AND contrast_p95_p5 >= 25)"
 ORACLES = {
-    "detection_statistics": H + _CANON + _PAIRS.replace("FROM hashed l JOIN hashed r", "FROM canon l JOIN canon r") + " SELECT count(*) AS candidates, count(*) FILTER (WHERE near) AS near, count(*) FILTER (WHERE burst) AS bursts FROM f",
-    "hybrid_recovery": H + _PAIRS.replace("FROM hashed l JOIN hashed r", "FROM (SELECT * FROM hashed WHERE tier NOT LIKE 'exif%') l JOIN (SELECT * FROM hashed WHERE tier NOT LIKE 'exif%') r") + " SELECT a, b, phash, CAST(0.85 AS DOUBLE) AS reliability, 'NEAR_DUPLICATE' AS relationship FROM j WHERE coalesce(sa <> sb, true) AND textured AND NOT (phash <= 1 AND dhash <= 20 AND ahash <= 20) AND phash <= 8 AND dhash <= 24 AND ahash <= 24 AND aspect <= 1 AND chroma <= 1 AND correlation >= 0.7",
+    "detection_statistics": H + _CANON + _PAIRS.replace("FROM hashed l JOIN hashed r", "FROM canon l JOIN canon r") + " SELECT count(*) AS candidates, count(*) FILTER (WHERE near) AS near, count(*) FILTER (WHERE burst) AS bursts, (SELECT count(*) FROM firsts) - (SELECT count(*) FROM canon) AS low_texture_excluded, (SELECT count(*) FROM hashed) - (SELECT count(*) FROM firsts) AS exact_copies_collapsed, false AS budget_limited FROM f",
+    "hybrid_recovery": H + _PAIRS + " SELECT a, b, phash, CAST(0.85 AS DOUBLE) AS reliability, 'NEAR_DUPLICATE' AS relationship FROM j WHERE coalesce(sa <> sb, true) AND textured AND NOT (phash <= 1 AND dhash <= 20 AND ahash <= 20) AND phash <= 8 AND dhash <= 24 AND ahash <= 24 AND aspect <= 1 AND chroma <= 1 AND correlation >= 0.7 AND (NOT (tier LIKE 'exif%' AND gap_s IS NOT NULL) OR gap_s = 0)",
+    "pair_reasons": H + _PAIRS + " SELECT a, b, CASE WHEN near THEN 'NEAR_DUPLICATE' WHEN burst THEN 'BURST' END AS relationship, CASE WHEN near THEN 'Perceptual hashes agree and the pixels confirm it' WHEN burst THEN 'Taken within moments of each other and alike' ELSE 'Too little evidence' END AS reason, concat_ws('; ', 'Reliability is a rule of thumb, not a probability', CASE WHEN correlation IS NULL THEN 'No pixels to verify, so looks prove nothing' END, CASE WHEN NOT (gap_s IS NOT NULL AND tier = 'exif_timezone') THEN 'Capture times are no comparable instants' END, CASE WHEN NOT textured THEN 'Too little texture to trust the hashes' END, CASE WHEN gap_s > 1e9 AND tier LIKE 'exif%' THEN 'Trusted capture times too far apart for near copies' END) AS warnings FROM f",
     "quality_score": A + " SELECT id, round(sharpness, 6) AS sharpness, round(exposure, 6) AS exposure, round(contrast, 6) AS contrast, round(resolution, 6) AS resolution, round(quality, 6) AS quality FROM scored",
     "quality_warnings": A + " SELECT id, concat_ws(',', CASE WHEN sharpness < 0.15 THEN 'low_sharpness' END, CASE WHEN underexposed > 0.25 THEN 'underexposed' END, CASE WHEN overexposed > 0.25 THEN 'overexposed' END, CASE WHEN CAST(width AS DOUBLE) * height / 1e6 < 1 THEN 'low_resolution' END) AS warnings FROM scored",
     "quality_histogram": A + " SELECT CAST(least(floor(quality * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM scored GROUP BY 1",
@@ -153,3 +194,20 @@ ORACLES = {
     "pair_verdicts": H + _PAIRS + " SELECT a, b, phash, dhash, ahash, round(aspect, 6) AS aspect, round(area_ratio, 6) AS area_ratio, round(correlation, 6) AS correlation, round(chroma, 6) AS chroma, round(gap_s, 3) AS gap_s, sequence_gap, near, burst, CASE WHEN near THEN 'NEAR_DUPLICATE' WHEN burst THEN 'BURST' END AS relationship, CAST(CASE WHEN near THEN 0.9 WHEN burst AND tier = 'exif_timezone' THEN 0.8 WHEN burst THEN 0.6 ELSE 0 END AS DOUBLE) AS reliability FROM f",
     "cosine_topk": "WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.id AS query, v.id, list_cosine_similarity(q.v, v.v) AS cosine FROM v q JOIN v ON q.id <> v.id WHERE CAST(q.id AS BIGINT) % 100 = 0), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS INT) AS rank FROM s) SELECT query, id, rank, round(cosine, 6) AS cosine FROM t WHERE rank <= 5",
 }
+
+
+def _projection_sql(neighbours: int = 16, window: int = 16) -> str:
+    """The same lines as numbers, then places, windows and the best of each row."""
+    lines = ", ".join(f"({k}, [{', '.join(repr(float(x)) for x in row)}]::DOUBLE[])" for k, row in enumerate(candidates.projections(64)))
+    return (
+        f"WITH p(probe, line) AS (VALUES {lines}), v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS raw FROM embeddings),"
+        " u AS (SELECT id, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS v FROM v),"
+        " r AS (SELECT id, probe, row_number() OVER (PARTITION BY probe ORDER BY list_dot_product(line, v), id) AS place FROM u, p),"
+        f" m AS (SELECT DISTINCT least(l.id, r.id) AS a, greatest(l.id, r.id) AS b FROM r l JOIN r ON l.probe = r.probe AND r.place > l.place AND r.place <= l.place + {window}),"
+        " c AS (SELECT a, b, greatest(-1, least(1, list_dot_product(x.v, y.v))) AS cosine FROM m JOIN u x ON x.id = a JOIN u y ON y.id = b),"
+        " s AS (SELECT a, b, cosine FROM c UNION ALL SELECT b, a, cosine FROM c),"
+        f" k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS n FROM s) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(cosine, 6) AS cosine FROM k WHERE n <= {neighbours}"
+    )
+
+
+ORACLES["projection_knn"] = _projection_sql()

@@ -81,7 +81,7 @@ def pref_train(spark, sf_dir):
 
 
 def learning_curve(spark, sf_dir):
-    return preferences.learning_curve(_examples(spark, sf_dir), (10, 50, 100))
+    return preferences.learning_curve(_examples(spark, sf_dir))
 
 
 def sign_test(spark, sf_dir):

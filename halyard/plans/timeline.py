@@ -10,7 +10,7 @@ from ..operators.graph import labelled
 from ..sources import bridge
 from .features import A, H, WIDE, hashed, scored, verified
 
-SEGMENT = ["tier", "aware", "segment_start"]
+SEGMENT = events.SEGMENT
 
 
 def _segmented(spark, sf_dir):
@@ -49,29 +49,48 @@ def event_overlay(spark, sf_dir):
     return events.overlay(auto.drop("doc_id"), overrides).select("id", "event_id", "source")
 
 
-def _with_vectors(spark, sf_dir):
-    return scored(spark, sf_dir).join(bridge.vectors(spark, sf_dir), "id")
+def _windows(spark, sf_dir):
+    """Segments by the coarse gap and the longest span, of all rows with clocks, and their vectors if they have any."""
+    found = events.segments(scored(spark, sf_dir), events.COARSE_US, events.SPAN_US)
+    return found.join(bridge.vectors(spark, sf_dir), "id", "left")
 
 
 def dbscan_events(spark, sf_dir):
-    rows = _with_vectors(spark, sf_dir)
-    return events.density_clusters(rows.where(F.col("clock_us").isNotNull()), events.density_edges(rows, 0.35))
+    rows = _windows(spark, sf_dir).where(F.col("vector").isNotNull())
+    found = events.density_clusters(rows, events.density_edges(rows, 0.35))
+    return rows.select("id", *SEGMENT).join(found, "id").join(events.truncated(rows), SEGMENT).select("id", "cluster", "truncated")
+
+
+def density_statuses(spark, sf_dir):
+    """What every row is told about its density event."""
+    rows = scored(spark, sf_dir).select("id", "tier", "clock_us")
+    windows = _windows(spark, sf_dir)
+    vec = windows.where(F.col("vector").isNotNull())
+    found = events.density_clusters(vec, events.density_edges(vec, 0.35))
+    all_rows = rows.join(windows.select("id", "aware", "segment_start", "vector"), "id", "left")
+    return events.density_assignments(all_rows, found, events.truncated(vec)).select("id", "cluster", "status", "reason")
+
+
+def visual_events(spark, sf_dir):
+    """Density clusters by vectors alone: all rows with vectors in the order of their ids are one window."""
+    rows = bridge.vectors(spark, sf_dir).withColumns({"all": F.lit(1), "clock_us": F.lit(0).cast("long")})
+    return events.density_clusters(rows, events.density_edges(rows, 0.2, temporal=0, key=["all"]))
 
 
 def hdbscan_events(spark, sf_dir):
-    """Hierarchical clusters inside the runs of clocks; windows over 256 rows are left for review."""
-    rows = events.gap_runs(_with_vectors(spark, sf_dir), events.COARSE_US)
-    return hierarchy.window_clusters(rows, ["tier", "aware", "run"])
+    """Hierarchical clusters inside the windows; those of over 2048 rows are left for review (skipped)."""
+    rows = _windows(spark, sf_dir).where(F.col("vector").isNotNull())
+    return hierarchy.window_clusters(rows, SEGMENT, limit=2048)
 
 
 def explained(spark, sf_dir):
-    """Every ranked row; its SQL has the first three of each segment."""
+    """Every ranked row."""
     rows = _ranked(spark, sf_dir, ranking.Weights())
     return rows.select("id", "raw_rank", F.array_join(explanations.weak_points(), "; ").alias("weak_points"), F.size(explanations.reasons()).alias("reasons"))
 
 
 def connected_components(spark, sf_dir):
-    """Events of all tiers and groups of copies, near copies and bursts, joined; its SQL has the events of naive clocks and exact copies."""
+    """Events of all tiers and groups of copies, near copies and bursts, joined."""
     rows = hashed(spark, sf_dir)
     seg = events.segments(scored(spark, sf_dir))
     line = seg.join(seg.groupBy(*SEGMENT).agg(F.min("id").alias("v")), SEGMENT).select(F.col("id").alias("u"), "v")
@@ -81,6 +100,16 @@ def connected_components(spark, sf_dir):
     return labelled(scored(spark, sf_dir).select("id"), line.unionByName(groups).unionByName(star))
 
 
+def components_of_copies(spark, sf_dir):
+    """Events of all tiers and groups of equal content, joined."""
+    rows = scored(spark, sf_dir)
+    seg = events.segments(rows)
+    line = seg.join(seg.groupBy(*SEGMENT).agg(F.min("id").alias("v")), SEGMENT).select(F.col("id").alias("u"), "v")
+    exact = grouping.exact_groups(rows)
+    star = exact.join(exact.groupBy("sha256").agg(F.min("id").alias("v")), "sha256").select(F.col("id").alias("u"), "v")
+    return labelled(rows.select("id"), line.unionByName(star))
+
+
 def holdout_partition(spark, sf_dir):
     """Copies form groups; a group's id is the hash of its members' ids."""
     rows = bridge.assets(spark, sf_dir).withColumn("bucket", F.coalesce("sha256", "id"))
@@ -124,6 +153,21 @@ def best20_library(spark, sf_dir):
     return ranking.best(_listed(spark, sf_dir), 20).select("rank", "id", F.round("selection_score", 5).alias("selection_score"))
 
 
+def best_per_copy(spark, sf_dir):
+    """The one row to keep of each group of equal content: its context is the group, and quality alone counts."""
+    rows = hashed(spark, sf_dir)
+    rows = rows.join(grouping.exact_groups(rows).select("id", "part"), "id")
+    ranked = ranking.rank(ranking.features(rows, ["sha256"]), ["sha256"], "duplicate")
+    return ranked.where("raw_rank = 1").select("sha256", "id", F.round("score", 5).alias("score"))
+
+
+def favorites(spark, sf_dir):
+    """All rows that were marked (here every eleventh), by quality, copies included."""
+    rows = hashed(spark, sf_dir).where(F.col("doc_id") % 11 == 0).withColumn("context", F.lit("favorites"))
+    ranked = ranking.rank(ranking.features(rows, ["context"]), ["context"], "event", ranking.Weights("A"))
+    return ranked.select(F.col("raw_rank").alias("rank"), "id", F.round("score", 5).alias("selection_score"))
+
+
 def export_manifest(spark, sf_dir):
     from ..sources.exports import manifest
 
@@ -132,12 +176,13 @@ def export_manifest(spark, sf_dir):
     return manifest(rows.select("id", F.concat(F.when(F.col("doc_id") % 13 == 0, "=").otherwise("/lib/"), "filename").alias("source_path"), F.col("filename").alias("source_name"), F.col("raw_rank").alias("rank"), F.when(F.col("tier") != "filesystem", F.concat("tier", F.lit(":"), "segment_start")).alias("event"), F.round("quality", 6).alias("technical_quality_v1"), label.alias("user_label")))
 
 
-QUERIES = [event_segments, event_records, event_assignments, event_representatives, event_overlay, dbscan_events, hdbscan_events, explained, connected_components, holdout_partition, rank_a, rank_b, coverage_bins, shortlist_per_event, best20_library, export_manifest]
+QUERIES = [components_of_copies, density_statuses, visual_events, best_per_copy, favorites, event_segments, event_records, event_assignments, event_representatives, event_overlay, dbscan_events, hdbscan_events, explained, connected_components, holdout_partition, rank_a, rank_b, coverage_bins, shortlist_per_event, best20_library, export_manifest]
 
 _SEG = """, o AS (SELECT id, tier, aware, clock_us, row_number() OVER (PARTITION BY tier, aware ORDER BY clock_us, id) AS rn FROM scored WHERE clock_us IS NOT NULL),
  w(id, tier, aware, rn, clock_us, segment_start) AS (SELECT id, tier, aware, rn, clock_us, clock_us FROM o WHERE rn = 1 UNION ALL
   SELECT o.id, o.tier, o.aware, o.rn, o.clock_us, CASE WHEN o.clock_us - w.clock_us > 7200000000 OR o.clock_us - w.segment_start > 64800000000 THEN o.clock_us ELSE w.segment_start END
   FROM w JOIN o ON o.tier = w.tier AND o.aware = w.aware AND o.rn = w.rn + 1), seg AS (SELECT id, tier, aware, segment_start FROM w)"""
+_COARSE = _SEG.replace("> 7200000000", "> 14400000000")
 _S = A.replace("WITH ", "WITH RECURSIVE ", 1) + _SEG
 _HS = H.replace("WITH ", "WITH RECURSIVE ", 1) + _SEG
 _STAMP = "strftime(make_timestamp({c}), '%Y-%m-%dT%H:%M:%S.%f') || CASE WHEN aware THEN '+00:00' ELSE '' END"
@@ -160,6 +205,11 @@ _K, _X = "tier, aware, segment_start", "x.tier, x.aware, x.segment_start"
 _BITS = "bit_count(xor(x.p_hi, {y}.p_hi)) + bit_count(xor(x.p_lo, {y}.p_lo))"
 _APART = "NOT (coalesce(x.sha256 = {y}.sha256, false) OR " + _BITS + " <= 2)"
 _SIM = "greatest(0, least(1, 1 - (" + _BITS + ") / 32.0::DOUBLE))"
+_DENSE = A.replace("WITH ", "WITH RECURSIVE ", 1) + _COARSE + """, v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ n AS (SELECT s.id, s.tier, s.aware, segment_start, clock_us, v, row_number() OVER (PARTITION BY s.tier, s.aware, segment_start ORDER BY clock_us, s.id) AS place, count(*) OVER (PARTITION BY s.tier, s.aware, segment_start) AS many FROM scored s JOIN seg ON seg.id = s.id JOIN v ON v.id = s.id),
+ e AS (SELECT l.id AS a, r.id AS b FROM n l JOIN n r ON l.tier = r.tier AND l.aware = r.aware AND l.segment_start = r.segment_start AND l.id <> r.id AND abs(l.place - r.place) <= 64 WHERE abs(l.clock_us - r.clock_us) <= 14400000000 AND 0.3 * greatest(0, 1 - list_cosine_similarity(l.v, r.v)) + 0.7 * abs(l.clock_us - r.clock_us) / 14400000000 <= 0.35),
+ w2(id, m) AS (SELECT id, id FROM n UNION SELECT e.b, w2.m FROM w2 JOIN e ON e.a = w2.id),
+ c AS (SELECT w2.id, CASE WHEN w2.id IN (SELECT a FROM e) THEN arg_min(m, (n.clock_us, n.id)) END AS cluster FROM w2 JOIN n ON n.id = w2.m GROUP BY w2.id)"""
 ORACLES = {
     "event_segments": _S + " SELECT id, tier, aware, segment_start FROM seg",
     "event_records": _S + ", m AS (SELECT s.*, g.segment_start FROM scored s JOIN seg g USING (id)), r AS (SELECT 'auto-' || sha256('{\"members\":[' || string_agg('[\"' || id || '\",\"' || fingerprint || '\"]', ',' ORDER BY id, fingerprint) || ']}') AS event_id, count(*) AS n, arg_min(id, (clock_us, id)) AS first_id, arg_max(id, (clock_us, id)) AS last_id, "
@@ -167,16 +217,20 @@ ORACLES = {
     "event_assignments": _S + " SELECT s.id, g.segment_start, s.tier, s.aware, CASE s.tier WHEN 'exif_timezone' THEN 'high' WHEN 'exif_naive' THEN 'medium' WHEN 'filesystem' THEN 'low' ELSE 'none' END AS confidence, CASE WHEN g.segment_start IS NULL THEN 'UNASSIGNED' WHEN s.tier <> 'exif_timezone' THEN 'LOW_CONFIDENCE' ELSE 'EVENT_MEMBER' END AS status, CASE WHEN g.segment_start IS NULL THEN 'No usable timestamp' WHEN s.tier = 'filesystem' THEN 'Filesystem timestamp can reflect copying' WHEN s.tier = 'exif_naive' THEN 'EXIF has no timezone; camera clocks may differ' ELSE 'Temporal continuity' END AS reason FROM scored s LEFT JOIN seg g USING (id)",
     "event_overlay": _S + ", a AS (SELECT s.id, s.doc_id, CASE WHEN g.segment_start IS NOT NULL THEN s.tier || ':' || g.segment_start END AS event_id FROM scored s LEFT JOIN seg g USING (id)) SELECT id, CASE WHEN doc_id % 23 = 0 AND doc_id % 69 <> 0 THEN CASE WHEN doc_id % 46 <> 0 THEN 'manual-1' END ELSE event_id END AS event_id, CASE WHEN doc_id % 69 = 0 THEN 'conflict' WHEN doc_id % 23 = 0 THEN 'manual' ELSE 'automatic' END AS source FROM a",
     "holdout_partition": A + ", g AS (SELECT sha256(string_agg(id, '|' ORDER BY id)) AS \"group\", count(*) AS n FROM asset GROUP BY coalesce(sha256, id)) SELECT \"group\", n, CASE WHEN CAST('0x' || substr(sha256('170406:' || \"group\"), 1, 8) AS BIGINT) % 5 = 0 THEN 'holdout' ELSE 'train' END AS partition FROM g",
-    "connected_components": _S + ", e AS (SELECT a.id AS u, b.id AS v FROM asset a JOIN asset b ON a.sha256 = b.sha256 AND a.id <> b.id UNION SELECT a.id, b.id FROM seg a JOIN seg b ON a.tier = b.tier AND a.aware = b.aware AND a.segment_start = b.segment_start AND a.id <> b.id WHERE a.tier = 'exif_naive'), c(id, m) AS (SELECT id, id FROM asset UNION SELECT e.v, c.m FROM c JOIN e ON e.u = c.id) SELECT id, min(m) AS component FROM c GROUP BY id",
+    "components_of_copies": _S + ", h AS (SELECT id, first_value(id) OVER (PARTITION BY tier, aware, segment_start ORDER BY id) AS v FROM seg UNION SELECT id, min(id) OVER (PARTITION BY sha256) FROM asset WHERE sha256 IS NOT NULL), e AS (SELECT id AS u, v FROM h WHERE id <> v UNION SELECT v, id FROM h WHERE id <> v), c(id, m) AS (SELECT id, id FROM asset UNION SELECT e.v, c.m FROM c JOIN e ON e.u = c.id) SELECT id, min(m) AS component FROM c GROUP BY id",
+    "best_per_copy": A + ", g AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS n, row_number() OVER (PARTITION BY sha256 ORDER BY quality DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS rn FROM scored WHERE sha256 IS NOT NULL) SELECT sha256, id, round(quality, 5) AS score FROM g WHERE n > 1 AND rn = 1",
+    "favorites": A + " SELECT CAST(row_number() OVER (ORDER BY quality DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS rank, id, round(quality, 5) AS selection_score FROM scored WHERE doc_id % 11 = 0",
     "rank_a": _rank_sql("quality"),
     "rank_b": _rank_sql("(0.6 * quality + 0.35 * representation + 0.05 * uniqueness)"),
     "coverage_bins": A + ", l AS (SELECT lang, min(clock_us) AS lo, max(clock_us) AS hi FROM scored GROUP BY lang) SELECT id, lang, CASE WHEN clock_us IS NULL THEN 'unknown' ELSE CAST(CAST(least(3, floor(4 * ((clock_us - lo) / 1e6) / ((hi - lo) / 1e6 + 1))) AS BIGINT) AS VARCHAR) END AS region FROM scored JOIN l USING (lang)",
-    "dbscan_events": A + ", v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT s.id, tier, aware, clock_us, v FROM scored s JOIN v USING (id) WHERE clock_us IS NOT NULL), e AS (SELECT l.id AS a, r.id AS b FROM n l JOIN n r ON l.tier = r.tier AND l.aware = r.aware AND l.id <> r.id WHERE abs(l.clock_us - r.clock_us) <= 14400000000 AND 0.3 * greatest(0, 1 - list_cosine_similarity(l.v, r.v)) + 0.7 * abs(l.clock_us - r.clock_us) / 14400000000 <= 0.35), c(id, m) AS (SELECT id, id FROM n UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id) SELECT c.id, CASE WHEN c.id IN (SELECT a FROM e) THEN min(m) END AS cluster FROM c GROUP BY c.id",
+    "dbscan_events": _DENSE + " SELECT c.id, cluster, many > 65 AS truncated FROM c JOIN n USING (id)",
+    "density_statuses": _DENSE + " SELECT s.id, cluster, CASE WHEN cluster IS NULL THEN 'UNASSIGNED' WHEN s.tier <> 'exif_timezone' OR many > 65 THEN 'LOW_CONFIDENCE' ELSE 'EVENT_MEMBER' END AS status, CASE WHEN s.clock_us IS NULL THEN 'No usable timestamp' WHEN n.id IS NULL THEN 'No vector' WHEN cluster IS NULL THEN 'Too few rows near by in time and looks' WHEN s.tier = 'filesystem' THEN 'Filesystem timestamp can reflect copying' WHEN s.tier = 'exif_naive' THEN 'EXIF has no timezone; camera clocks may differ' WHEN many > 65 THEN 'Dense window: the search for neighbours was bounded' ELSE 'Near in time and looks' END AS reason FROM scored s LEFT JOIN n USING (id) LEFT JOIN c USING (id)",
+    "visual_events": "WITH RECURSIVE n AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY CAST(vec_id AS VARCHAR)) AS place FROM embeddings), e AS (SELECT l.id AS a, r.id AS b FROM n l JOIN n r ON l.id <> r.id AND abs(l.place - r.place) <= 64 WHERE 0.3 * greatest(0, 1 - list_cosine_similarity(l.v, r.v)) <= 0.2), w(id, m) AS (SELECT id, id FROM n UNION SELECT e.b, w.m FROM w JOIN e ON e.a = w.id) SELECT id, CASE WHEN id IN (SELECT a FROM e) THEN min(m) END AS cluster FROM w GROUP BY id",
     "event_representatives": _HS + _RANKED + f""", o2 AS (SELECT fs.*, row_number() OVER (PARTITION BY {_K} ORDER BY abs(clock_us - m), quality DESC, id) AS rn FROM fs JOIN (SELECT {_K}, median(clock_us) AS m FROM fs GROUP BY ALL) USING ({_K})),
  a1 AS (SELECT * FROM o2 WHERE rn = 1), a2 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) WHERE {_APART.format(y="a1")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1),
  a3 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) JOIN a2 USING ({_K}) WHERE {_APART.format(y="a1")} AND {_APART.format(y="a2")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1)
  SELECT {_K}, CAST(1 AS INT) AS rank, id FROM a1 UNION ALL SELECT {_K}, 2, id FROM a2 UNION ALL SELECT {_K}, 3, id FROM a3""",
-    "explained": _HS + _RANKED + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY 0.6 * quality + 0.35 * representation + 0.05 * uniqueness DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS raw_rank FROM ctx) SELECT id, raw_rank, concat_ws('; ', CASE WHEN quality < 0.2 THEN 'Low technical score: no bonus for uniqueness or coverage' END, CASE WHEN sharpness < 0.2 THEN 'Low sharpness, which may be intended' END, CASE WHEN exposure < 0.4 THEN 'Exposure far from the middle, which low light may explain' END, CASE WHEN representation < 0.35 THEN 'Unlike its context: no bonus for uniqueness' END) AS weak_points, CAST(6 AS INT) AS reasons FROM r WHERE raw_rank <= 3",
+    "explained": _HS + _RANKED + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY 0.6 * quality + 0.35 * representation + 0.05 * uniqueness DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS raw_rank FROM ctx) SELECT id, raw_rank, concat_ws('; ', CASE WHEN quality < 0.2 THEN 'Low technical score: no bonus for uniqueness or coverage' END, CASE WHEN sharpness < 0.2 THEN 'Low sharpness, which may be intended' END, CASE WHEN exposure < 0.4 THEN 'Exposure far from the middle, which low light may explain' END, CASE WHEN representation < 0.35 THEN 'Unlike its context: no bonus for uniqueness' END) AS weak_points, CAST(6 AS INT) AS reasons FROM r",
     "export_manifest": _HS + _RANKED + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY quality DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS rank FROM ctx) SELECT CASE WHEN doc_id % 13 = 0 THEN '=' ELSE '/lib/' END || filename AS source_path, filename AS source_name, rank, CASE WHEN tier <> 'filesystem' THEN tier || ':' || segment_start ELSE 'Unassigned' END AS event, round(quality, 6) AS technical_quality_v1, CASE WHEN doc_id % 7 = 0 THEN 'favorite' ELSE 'unmarked' END AS user_label FROM r WHERE rank <= 2",
     "shortlist_per_event": _HS + _RANKED + f""", lo AS (SELECT {_K}, min(clock_us) AS lo, max(clock_us) AS hi FROM fs GROUP BY ALL),
  q AS (SELECT *, 0.6 * quality + 0.35 * representation + 0.05 * uniqueness AS score, least(3, floor(4 * ((clock_us - lo) / 1e6) / ((hi - lo) / 1e6 + 1))) AS region FROM ctx JOIN lo USING ({_K})),
@@ -188,4 +242,18 @@ ORACLES = {
  c3 AS (SELECT *, score - 0.25 * sim2 + b3 AS v FROM s3 QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY score - 0.25 * sim2 + b3 DESC, raw_rank, id) = 1)
  SELECT {_K}, CAST(1 AS INT) AS rank, id, round(v, 5) AS selection_score FROM c1 UNION ALL SELECT {_K}, 2, id, round(v, 5) FROM c2 UNION ALL SELECT {_K}, 3, id, round(v, 5) FROM c3""",
 }
-ORACLES["dbscan_events"] = ORACLES["dbscan_events"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _best_sql(k: int) -> str:
+    """The greedy choice as k steps: the best row so far unlike those before it, then what that leaves."""
+    keys = "x.sha256 IS DISTINCT FROM c.sha256 OR x.sha256 IS NULL"
+    out = _HS + _RANKED + f""", lo AS (SELECT {_K}, min(clock_us) AS lo, max(clock_us) AS hi FROM fs GROUP BY ALL),
+ q AS (SELECT id, sha256, p_hi, p_lo, quality, 0.6 * quality + 0.35 * representation + 0.05 * uniqueness AS score, least(3, floor(4 * ((clock_us - lo) / 1e6) / ((hi - lo) / 1e6 + 1))) AS region, row_number() OVER (PARTITION BY {_K} ORDER BY 0.6 * quality + 0.35 * representation + 0.05 * uniqueness DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS raw_rank FROM ctx JOIN lo USING ({_K})),
+ s0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS sim, []::DOUBLE[] AS seen FROM q)"""
+    for i in range(k):
+        value = "score - 0.25 * sim + CASE WHEN quality >= 0.2 AND NOT list_contains(seen, region) THEN 0.05 ELSE 0 END"
+        out += f", c{i} AS MATERIALIZED (SELECT *, {value} AS v FROM s{i} ORDER BY v DESC, raw_rank, id LIMIT 1), s{i + 1} AS MATERIALIZED (SELECT x.id, x.sha256, x.p_hi, x.p_lo, x.quality, x.score, x.region, x.raw_rank, greatest(x.sim, {_SIM.format(y='c')}) AS sim, list_append(x.seen, c.region) AS seen FROM s{i} x, c{i} c WHERE x.id <> c.id AND ({keys}))"
+    return out + " " + " UNION ALL ".join(f"SELECT CAST({i + 1} AS INT) AS rank, id, round(v, 5) AS selection_score FROM c{i}" for i in range(k))
+
+
+ORACLES["best20_library"] = _best_sql(20)

@@ -33,3 +33,12 @@ def export(df: DataFrame, path: str, kind: str = "json") -> None:
         guarded(manifest(df)).write.option("header", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"no export format: {kind}")
+
+
+#: Columns of a pair report, in their order (fixed values).
+PAIR_REPORT = ("split", "a", "b", "label", "prediction", "phash", "dhash", "ahash", "correlation", "grouped_near", "grouped_burst")
+
+
+def pair_report(measured: DataFrame) -> DataFrame:
+    """Labelled pairs with their verdicts (split, a, b, label, relationship, distances, grouped flags) as a report's rows."""
+    return measured.withColumn("prediction", F.col("relationship")).select(*PAIR_REPORT)

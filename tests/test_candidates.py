@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from halyard.operators import candidates, evidence, graph, grouping
+from halyard.operators import candidates, detection, evaluation, evidence, graph, grouping
 
 HASH = "id string, p_hi long, p_lo long"
 
@@ -31,6 +31,44 @@ def test_hamming_pairs_equal_brute_force(spark):
         got = {(r.a, r.b, r.distance) for r in candidates.hamming_pairs(spark.createDataFrame(rows, HASH), radius).collect()}
         expected = {(*sorted((a[0], b[0])), popcount(a, b)) for a, b in itertools.combinations(rows[:-1], 2) if popcount(a, b) <= radius}
         assert got == expected
+        for count in {n for n, *_ in candidates._ways(radius)}:
+            assert {(r.a, r.b, r.distance) for r in candidates.hamming_pairs(spark.createDataFrame(rows, HASH), radius, count=count).collect()} == expected
+
+
+def test_probes_follow_the_number_of_hashes():
+    """Probes and expected meetings of a hash: few at any number of hashes, where bands alone would meet 1 in 128."""
+    cost = lambda n: min(p * (1 + n / 2**w) for _, _, p, w in candidates._ways(8))
+    assert cost(10**3) < 100 and cost(10**4) < 200 and cost(10**6) < 1200 < 9 * 10**6 / 128
+
+
+def test_query_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vecs = spark.createDataFrame([(str(i), rng.normal(size=8).tolist()) for i in range(60)], "id string, vector array<double>")
+    ask = lambda: {(r.query, r.id, r.rank) for r in candidates.cosine_topk(vecs.limit(20), vecs, 3, 8).collect()}
+    whole = ask()
+    monkeypatch.setattr(candidates, "QUERY_BLOCK", 4)
+    assert ask() == whole and len(whole) == 60
+
+
+def test_detection_suppresses_and_explains(spark):
+    rows = [{"id": i, "sha256": s, "p_lo": p} for i, s, p in (("a", "s", 0), ("b", "s", 0), ("c", None, 1), ("d", None, 3), ("e", None, 0xFFFFF))] + [{"id": "f", "entropy_bits": 1.0}]
+    extra = {"fingerprint": "f", "quality": 0.5, "sharpness": 0.5, "exposure": 0.5, "size": 10, "link_count": 1}
+    df = _features(spark, rows)
+    for c, v in extra.items():
+        df = df.withColumn(c, F.lit(v))
+    found = detection.detect(df)
+    groups = {(r.type, r.group, r.member) for r in found["groups"].collect()}
+    assert groups == {("EXACT_DUPLICATE", "a", "a"), ("EXACT_DUPLICATE", "a", "b"), ("NEAR_DUPLICATE", "a", "a"), ("NEAR_DUPLICATE", "a", "c"), ("NEAR_DUPLICATE", "a", "d")}
+    assert {(r.type, r.a, r.b) for r in found["evidence"].collect()} == {("EXACT_DUPLICATE", "a", "b"), ("NEAR_DUPLICATE", "a", "c"), ("NEAR_DUPLICATE", "a", "d"), ("NEAR_DUPLICATE", "c", "d")}
+    numbers = found["statistics"].first()
+    assert (numbers.low_texture_excluded, numbers.exact_copies_collapsed, numbers.budget_limited) == (1, 1, False)
+    near = detection.signatures(found["groups"].where("type = 'NEAR_DUPLICATE'").join(df.select("id", "fingerprint"), F.col("member") == F.col("id")), ["type", "group"])
+    assert {r.type for r in detection.detect(df, suppressed=near)["groups"].collect()} == {"EXACT_DUPLICATE"}
+    more = spark.createDataFrame([("e", "a"), ("f", "a")], "a string, b string")
+    assert detection.detect(df, extra=more)["statistics"].first().candidates == numbers.candidates + 1
+    labelled = found["pairs"].select("a", "b", "relationship").withColumn("label", F.col("relationship"))
+    got = {r.metric: (r.tp, r.fp, r.fn) for r in evaluation.grouped_metrics(evaluation.grouped(labelled, found["groups"])).collect()}
+    assert got["near_grouped"] == (3, 0, 0)
 
 
 def test_time_pairs_respect_tier_and_awareness(spark):

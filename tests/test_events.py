@@ -64,11 +64,23 @@ def test_representatives_skip_copies(spark):
 def test_density_noise_and_border(spark):
     v = lambda *x: [float(y) for y in x]
     rows = [("a", "t", True, 0, v(1, 0)), ("b", "t", True, MIN, v(1, 0)), ("c", "t", True, 2 * MIN, v(1, 0.1)), ("d", "t", True, 200 * MIN, v(0, 1)), ("e", "t", True, 10**12, v(1, 0))]
-    df = spark.createDataFrame(rows, CLOCK + ", vector array<double>")
+    df = events.segments(spark.createDataFrame(rows, CLOCK + ", vector array<double>"), events.COARSE_US)
     got = {r.id: r.cluster for r in events.density_clusters(df, events.density_edges(df, 0.25), 3).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": None, "e": None}
 
 
+def test_density_windows_end_at_the_longest_span(spark):
+    """Rows every half hour for 40 hours are three windows, so three clusters; a border row joins the earlier one."""
+    rows = [(f"{i:03d}", "t", True, i * 30 * MIN, [1.0, 0.0]) for i in range(81)]
+    df = events.segments(spark.createDataFrame(rows, CLOCK + ", vector array<double>"), events.COARSE_US)
+    found = [r.cluster for r in events.density_clusters(df, events.density_edges(df, 0.35)).collect()]
+    assert sorted(found.count(c) for c in set(found)) == [7, 37, 37]
+    edges = spark.createDataFrame([("p", "q"), ("q", "r"), ("r", "p"), ("x", "y"), ("y", "z"), ("z", "x"), ("x", "m"), ("p", "m")], "a string, b string")
+    nodes = spark.createDataFrame([(i, c) for c, i in enumerate("xyzpqrm")], "id string, clock_us long")
+    got = {r.id: r.cluster for r in events.density_clusters(nodes, edges, 4).collect()}
+    assert got["m"] == "x" and got["q"] is None or got["m"] in ("x", "p")
+
+
 def test_overlay_and_corrections(spark):
     assigned = spark.createDataFrame([("1", "f1", "e1"), ("2", "f2", "e1"), ("3", "f3", "e2")], "id string, fingerprint string, event_id string")
     none = spark.createDataFrame([], "id string, fingerprint string, event_id string")

@@ -54,6 +54,7 @@ def test_shortlist_suppresses_groups_and_library_choice_agrees(spark):
     one = df.where("k = 'x'")
     few = {(r.rank, r.id) for r in ranking.shortlist(one, ["k"], 6).collect()}
     assert few == {(r.rank, r.id) for r in ranking.best(one, 6).collect()}
+    assert few == {(r.rank, r.id) for r in ranking.best(one, 6, most=0).collect()} == {(r.rank, r.id) for r in ranking.best(one, 6, most=7).collect()}
     with pytest.raises(ValueError):
         ranking.shortlist(df, ["k"], 101)
 
