@@ -75,7 +75,8 @@ def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """A row for each piece of each document; a null text is its end token alone."""
+    """A row for each piece of each document; a null or empty text is its end token alone, a text of any length is cut
+    whole, repeated rows have their pieces each, an empty table has none. Other columns are not read."""
     path = path or vocabulary()
 
     def run(rows):
@@ -120,7 +121,7 @@ def place(lengths, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
 def pack(found: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces. Ties in length go by id, piece and checksum; repeated rows are packed each.
 
-    Pieces are dealt to the groups by their place in the input, so no id fills a group.
+    Pieces are dealt to the groups by their place in the input, so no id fills a group; an empty table gives no rows.
     """
     grouped = found.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     kind = found.schema.simpleString()[len("struct<") : -1].replace(":", " ")
@@ -134,5 +135,6 @@ def pack(found: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op3_packing(spark, sf_dir):
+    """Null and empty texts are their end token alone, repeated rows are packed each; see pieces() and pack()."""
     documents = table(spark, sf_dir, "documents")
     return pack(pieces(documents), groups_for(documents, GROUP_BYTES, 1))

@@ -24,7 +24,8 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-USERINFO = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+[^\s<>\"']*")
+USER = re.compile(r"[^\s/?#@<>\"']+")
+HOST = re.compile(r"@[A-Za-z0-9.-]+[^\s<>\"']*")
 IBAN = re.compile(r"[\s:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|#))?\s{0,2}[:=#]?\s{0,2}([0-9][0-9-]{4,32}[0-9])(?![0-9A-Za-z])", re.IGNORECASE)
 SECRET = re.compile(r"\"?\s{0,3}[:=]\s{0,3}([\"']?)(?=[A-Za-z0-9+/_=.~-]{16})")
@@ -79,6 +80,7 @@ class Finder:
         out: list[tuple[int, int, int]] = []
         email = ip = card = phone = other = 0  # ends of the last match of each kind
         value = 0  # end of the last secret's value, which may hold more cues and is walked once, however long
+        nobody = 0  # no scheme before this place is followed by a user and a host
         last_digit = value_digit = -2
         for at, (kind, width) in self.automaton.iter(text):
             p = at - width + 1
@@ -106,9 +108,12 @@ class Finder:
                         out.append((p, 3, phone))
             elif p >= other:
                 if kind == "scheme":
-                    if m := USERINFO.match(text, at + 1):
-                        other = m.end()
-                        out.append((p, 4, other))
+                    # the run that a user's name may be is walked once, however many schemes it holds
+                    if at + 1 >= nobody and (m := USER.match(text, at + 1)):
+                        nobody = m.end()
+                        if m := HOST.match(text, nobody):
+                            other = m.end()
+                            out.append((p, 4, other))
                 elif kind == "secret":
                     if m := SECRET.match(text, at + 1):
                         if m.end() >= value:
@@ -181,4 +186,5 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def op8_pii(spark, sf_dir):
+    """Null and empty texts have no spans, repeated rows have the same ones, null ids are kept; see Finder.spans()."""
     return digest(table(spark, sf_dir, "documents"))

@@ -240,6 +240,79 @@ def test_quality_rules(spark):
     assert all(got[2000 + i].kept for i in range(40)) and not got[1003].kept
 
 
+def test_neighbours_decide_on_lines():
+    """Two lines that show the same of themselves get the labels of their neighbours."""
+    pick = random.Random(5)
+    prose = lambda: " ".join(pick.choice(["the", "river", "was", "slow", "and", "old", "boats", "lay", "there"]) for _ in range(12)) + "."
+    junk = lambda: " ".join(f"## {pick.choice(['BUY', 'NOW', 'CLICK'])} $$" for _ in range(4))
+    docs = ["\n".join([prose() for _ in range(pick.randint(2, 6))] + [junk() for _ in range(pick.randint(0, 5))] + [prose() for _ in range(pick.randint(0, 3))]) for _ in range(300)]
+    learnt = []
+    for i, d in enumerate(docs):
+        t = quality_rules.Text(d)
+        learnt.append((i, quality_rules.line_features(t, t.shares()), quality_rules.weak_labels(t, t.shares())))
+    model = quality_rules.fit_lines(learnt)
+
+    def middle(lines):
+        t = quality_rules.Text("\n".join(lines))
+        f = quality_rules.line_features(t, t.shares())
+        f[3, :12] = -1  # the line shows nothing
+        return crf.viterbi(model, [np.where(f < 0, 0.0, model.weights[f]).sum(1)])[0][3]
+
+    assert middle([prose()] + [junk() for _ in range(5)] + [prose()]) == 1 and middle([prose() for _ in range(7)]) == 0
+    # learnt with all features shown, the field returns the rule; some lines hide them, in the same places each time
+    f = quality_rules.line_features(t := quality_rules.Text(docs[0]), t.shares())
+    assert (quality_rules.hidden(f, 3) == quality_rules.hidden(f, 3)).all() and (f[:, [5, 8, 9]] == quality_rules.hidden(f, 3)[:, [5, 8, 9]]).all()
+
+
+def test_weak_labels_equal_plain_ones():
+    for text in ["a b c\na b c\n\nSOME LOUD LINE here\n" + "x " * 20 + "\nall rights reserved\n# $ % a b c d", "one\n one\ntwo two two two two"]:
+        t = quality_rules.Text(text)
+        lines = [x for x in text.split("\n") if x.split()]
+        expected = []
+        for k, x in enumerate(lines):
+            ws = x.split()
+            n = len(ws)
+            share = lambda f: sum(map(f, ws)) / n
+            twice = sum(a == b for a, b in zip(ws, ws[1:])) / n
+            expected.append(int(share(lambda w: any(c in "#*$%&|<>" for c in w)) >= 0.1 or (share(lambda w: len(w) > 1 and w.isupper()) >= 0.35 and n >= 3) or twice >= 0.4 or (len(set(ws)) / n <= 0.3 and n >= 12) or bool(quality_rules.NOTICE.search(x.encode())) or x in lines[:k]))
+        assert quality_rules.weak_labels(t, t.shares()).tolist() == expected
+
+
+def test_toxic_words_are_learnt_from_counts_and_company():
+    pick = random.Random(6)
+    plain = [f"plain{i}" for i in range(400)]
+    bad = ["nastyone", "vilestuff", "grimword", "foulthing"]
+    texts, y = [], []
+    for i in range(400):
+        ws = pick.choices(plain, k=40)
+        if i % 2:
+            ws[20:20] = ["utter", pick.choice(bad)]
+        else:
+            ws.append("utter")
+        texts.append(" ".join(ws))
+        y.append(i % 2)
+    family = toxicity.families(texts)
+    assert len(set(family)) == 400 and toxicity.families([texts[0], texts[1], texts[0] + " more"])[0] == toxicity.families([texts[0], texts[1], texts[0] + " more"])[2]
+    found = toxicity.lexicon(lambda: ({k for w in set(t.split()) for k in toxicity.keys(w)} for t in texts), y, family)
+    # the plain count: features of toxic families only, which often enough
+    has = lambda k, label: {f for t, f, v in zip(texts, family, y) if v == label and any(k in toxicity.keys(w) for w in t.split())}
+    assert {b"=" + w.encode() for w in bad} <= found
+    assert all(len(has(k, 1)) / (len(has(k, 1)) + len(has(k, 0))) >= toxicity.PURITY for k in found)
+    number: dict = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in t.split()]) for t in texts]
+    table = np.array([toxicity.slots(w, 1 << 16) for w in number])
+    is_bad = np.array([any(k in found for k in toxicity.keys(w)) for w in number])
+    turn, learnt = np.random.default_rng(1), []
+    for d, v in zip(docs, y):
+        x = toxicity.features(table, d)
+        x[turn.random(len(d)) < toxicity.HIDDEN, : toxicity.OWN] = -1
+        learnt.append((x, (is_bad[d] & bool(v)).astype(int)))
+    tagger = toxicity.Tagger(crf.fit(learnt, 1 << 16, epochs=8))
+    a, b, c = tagger.marginals(["plain1 plain2 utter qwzzk plain3 plain4", "plain1 plain2 plain5 qwzzk plain3 plain4", "so utter"])
+    assert a[3] > 20 * b[3] and c.max() < 0.5  # a word that was never seen, by its company
+    assert tagger.emissions("plain1 Nastyone").tolist() == pytest.approx([sum(float(tagger.model.weights[i]) for i in f if i >= 0) for f in toxicity.features(np.array([toxicity.slots(w, 1 << 16) for w in ("plain1", "Nastyone")]), np.arange(2))])
+
+
 def test_crf_equals_enumeration():
     rng = np.random.default_rng(2)
     model = crf.Model(np.zeros(1, np.float32), rng.normal(size=2), rng.normal(size=(2, 2)))

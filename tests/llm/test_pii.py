@@ -72,3 +72,17 @@ def test_query_shape(spark):
     assert by[None].base_sha256 == by[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.digest(df.limit(0)).count() == 0
     assert pii.find(df).where("doc_id = 1").first().redacted == "[EMAIL]"
+
+
+def test_long_runs_take_linear_time():
+    """Texts that hold one anchor after the other: ten times the text takes about ten times as long."""
+    for unit in ("mailto:", "http://", "token=", "account ", "iban ", "@", "+1", "1.", "1-", "a@b."):
+        took = []
+        for n in (20_000, 200_000):
+            text = unit * (n // len(unit))
+            began = time.perf_counter()
+            pii.finder().spans(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * max(took[0], 0.005), (unit, took)
+    found = pii.finder().spans("mailto:mailto:a@b.com")
+    assert (0, 4, 21) in found
