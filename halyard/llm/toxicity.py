@@ -109,7 +109,7 @@ class Tagger:
             return np.empty(0)
         if len(self.known) >= KNOWN_WORDS:
             self.known, self.table = {}, np.empty((0, 3))
-        fresh = sorted(set(ws) - self.known.keys())
+        fresh = sorted({w for w in ws if w not in self.known})  # not set minus keys(), which walks all that is known
         if fresh:
             first = len(self.known)
             self.known.update(zip(fresh, range(first, first + len(fresh))))
