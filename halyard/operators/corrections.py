@@ -37,6 +37,32 @@ def split(overrides: DataFrame, assigned: DataFrame, event: str, members: DataFr
     return move(move(overrides, rest, event), own.join(members.select("id"), "id", "left_semi"), into)
 
 
+def rename(overrides: DataFrame, names: DataFrame, assigned: DataFrame, event: str, name: str, into: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The event's members stay together by hand, as `into` (or under its own id), whose name is set.
+
+    names: event_id, name. Returns the new overrides and names. Names have 1 to 120 characters without the blanks around them.
+    """
+    name, into = name.strip(), into or event
+    if not 1 <= len(name) <= 120:
+        raise ValueError("an event's name has 1 to 120 characters")
+    own = assigned.where(F.col("event_id") == event)
+    if not own.limit(1).count():
+        raise ValueError("the event to rename does not exist")
+    fresh = assigned.sparkSession.createDataFrame([(into, name)], "event_id string, name string")
+    return move(overrides, own, into), upsert(names, fresh, ["event_id"])
+
+
+def remove(overrides: DataFrame, assigned: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (id) leave their events; what is left of those stays together by hand."""
+    if not members.limit(1).count():
+        raise ValueError("no members to remove")
+    _check(members.select("id").join(assigned, "id", "left_anti"), "a member to remove does not exist")
+    gone = assigned.join(members.select("id"), "id", "left_semi")
+    rest = assigned.join(gone.where(F.col("event_id").isNotNull()).select("event_id").distinct(), "event_id", "left_semi").join(members.select("id"), "id", "left_anti")
+    kept = upsert(overrides, rest.select("id", "fingerprint", "event_id"), ["id"])
+    return move(kept, gone, None)
+
+
 def block(blocked: DataFrame, group: DataFrame, member: str) -> DataFrame:
     """blocked (a, b, a_fingerprint, b_fingerprint) with the member against each other row of its group (id, fingerprint)."""
     one = group.where(F.col("id") == member).select(F.col("id").alias("x"), F.col("fingerprint").alias("fx"))

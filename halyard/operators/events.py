@@ -89,10 +89,22 @@ def assignments(df: DataFrame, segmented: DataFrame) -> DataFrame:
 
 
 def event_representatives(members: DataFrame, key: list[str], most: int = 3) -> DataFrame:
-    """Up to `most` members for each group, the nearest to its median clock first (then quality, then id), none of
-    them a copy (content hash, or at most 2 bits) of one before it. A group is an event, bounded by the longest span."""
+    """Up to `most` members for each group, the most central first (then quality, then id), none of them a copy
+    (content hash, or at most 2 bits) of one before it. A group is an event, bounded by the longest span.
+
+    With a column `vector`, rows that have one go first, by cosine to the mean of the group's vectors; the others go by
+    distance from the median clock, those without a clock last.
+    """
     median = members.groupBy(*key).agg(F.median("clock_us").alias("_middle"))
-    near = members.join(median, key).withColumn("_far", F.abs(F.col("clock_us") - F.col("_middle")))
+    far = F.coalesce(F.abs(F.col("clock_us") - F.col("_middle")).cast("double"), F.lit(float("inf")))
+    near = members.join(median, key)
+    if "vector" in members.columns:
+        parts = members.where(F.col("vector").isNotNull()).select(*key, F.posexplode("vector").alias("_k", "_v")).groupBy(*key, "_k").agg(F.avg("_v").alias("_v"))
+        centre = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_k", "_v")))["_v"].alias("_centre"))
+        near, length = near.join(centre, key, "left"), vectors.norm("_centre")
+        # a mean of no length is not scaled, so that all cosines are near 0 there
+        far = F.when(F.col("vector").isNotNull(), -vectors.dot("vector", "_centre") / F.when(length > 1e-9, length).otherwise(1.0)).otherwise(far)
+    near = near.withColumn("_far", far)
     listed = near.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_far", (-F.col("quality")).alias("worse"), "id", "sha256", "p_hi", "p_lo"))).alias("all"))
     apart = lambda x, y: ~(F.coalesce(x["sha256"] == y["sha256"], F.lit(False)) | F.coalesce(F.bit_count(x["p_hi"].bitwiseXOR(y["p_hi"])) + F.bit_count(x["p_lo"].bitwiseXOR(y["p_lo"])) <= 2, F.lit(False)))
     none = F.slice("all", 1, 0)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions import clocks
 from halyard.operators import corrections, events
+from halyard.sources import synthetic
 
 MIN = 60_000_000
 CLOCK = "id string, tier string, aware boolean, clock_us long"
@@ -102,3 +103,54 @@ def test_blocks_and_valid_groups(spark):
     suppressed = spark.createDataFrame([("s9",)], "signature string")
     ok = corrections.valid_groups(groups, rows, suppressed, corrections.valid_blocks(blocked, rows))
     assert {r.group for r in ok.collect()} == {"h"}
+
+
+def test_representatives_by_vectors_equal_the_plain_order(spark):
+    """Rows with vectors by cosine to the mean of their group's, then rows by the median clock, then those without a clock."""
+    pick = random.Random(3)
+    rows = [(i % 3, f"{i:02d}", pick.choice([None, pick.randint(0, 99)]), pick.random(), None, None, None, [pick.gauss(0, 1) for _ in range(4)] if pick.random() < 0.6 else None) for i in range(36)]
+    rows += [(7, "x", None, 0.5, None, None, None, [1.0, 0.0]), (7, "y", None, 0.9, None, None, None, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "k int, id string, clock_us long, quality double, sha256 string, p_hi long, p_lo long, vector array<double>")
+    got = {}
+    for r in events.event_representatives(df, ["k"], 20).orderBy("rank").collect():
+        got.setdefault(r.k, []).append(r.id)
+    for k in (0, 1, 2, 7):
+        own = [r for r in rows if r[0] == k]
+        vs, ts = [r[7] for r in own if r[7]], sorted(r[2] for r in own if r[2] is not None)
+        centre = [sum(x) / len(vs) for x in zip(*vs)]
+        size = sum(x * x for x in centre) ** 0.5
+        centre = [x / size for x in centre] if size > 1e-9 else centre
+        middle = (ts[(len(ts) - 1) // 2] + ts[len(ts) // 2]) / 2 if ts else None
+        far = lambda r: -sum(x * y for x, y in zip(r[7], centre)) if r[7] else abs(r[2] - middle) if r[2] is not None else float("inf")  # noqa: B023,E731
+        assert got[k] == [r[1] for r in sorted(own, key=lambda r: (far(r), -r[3], r[1]))]
+
+
+def test_events_are_renamed_and_members_removed(spark):
+    assigned = spark.createDataFrame([(str(i), "f", "e1" if i < 3 else "e2" if i < 5 else None) for i in range(6)], "id string, fingerprint string, event_id string")
+    none = spark.createDataFrame([], "id string, fingerprint string, event_id string")
+    names = spark.createDataFrame([("e2", "Old")], "event_id string, name string")
+    overrides, renamed = corrections.rename(none, names, assigned, "e2", "  New ", "m")
+    assert {r.id: r.event_id for r in overrides.collect()} == {"3": "m", "4": "m"} and {tuple(r) for r in renamed.collect()} == {("e2", "Old"), ("m", "New")}
+    for event, name in (("e2", " "), ("e2", "x" * 121), ("e9", "x")):
+        with pytest.raises(ValueError):
+            corrections.rename(none, names, assigned, event, name)
+    left = corrections.remove(none, assigned, assigned.where("id in ('0', '5')"))
+    assert {r.id: r.event_id for r in left.collect()} == {"0": None, "1": "e1", "2": "e1", "5": None}
+    assert {r.id: r.event_id for r in events.overlay(assigned, left).collect()} == {"0": None, "1": "e1", "2": "e1", "3": "e2", "4": "e2", "5": None}
+    for wrong in (assigned.where("false"), spark.createDataFrame([("9",)], "id string")):
+        with pytest.raises(ValueError):
+            corrections.remove(none, assigned, wrong)
+
+
+def test_synthetic_assets_come_back_as_their_events(spark):
+    rows = synthetic.assets(spark, 90)
+    found = events.segments(rows).select("id", "event", "segment_start").collect()
+    assert len(found) == 90 and len({(r.event, r.segment_start) for r in found}) == 5
+    one, many = (sorted(map(str, synthetic.assets(spark, 90).repartition(n).collect())) for n in (1, 7))
+    assert one == many
+    vs = {r.id: (r.event, r.vector) for r in rows.collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert all(abs(dot(v, v) - 1) < 1e-9 and len(v) == 64 for _, v in vs.values())
+    inside = [dot(a, b) for e, a in vs.values() for f, b in vs.values() if e == f]
+    across = [dot(a, b) for e, a in vs.values() for f, b in vs.values() if e != f]
+    assert min(inside) > 0.95 and max(across) < 0.6

@@ -123,3 +123,25 @@ def test_feedback_log(spark):
     assert {(r.pair_key, r.choice) for r in preferences.feedback_state(log, ["pair_key"]).collect()} == {("p", "a"), ("r", "tie"), ("s", "a")}
     fresh = spark.createDataFrame([("p", "a", False, "g", "g", "train", "train"), ("p", "a", True, "g", "g", "train", "train"), ("q", "a", False, "g", "h", "train", "train"), ("z", "?", False, "g", "g", "train", "train"), ("q", "b", False, "g", "g", "train", "train")], "pair_key string, choice string, repeat boolean, group_a string, group_b string, partition_a string, partition_b string")
     assert {(r.pair_key, r.why) for r in preferences.refused(log, fresh).collect()} == {("p", "judged before"), ("q", "different groups"), ("z", "no such choice")}
+
+
+def test_pair_strategies(spark):
+    """Undecided pairs rise with a model, a random order is fixed and no other than the pool's, seen pairs are not asked again."""
+    pick = random.Random(4)
+    rows = [(f"c{i % 4}", 1, f"{i:02d}", pick.random(), pick.random(), "g", [pick.gauss(0, 2), pick.gauss(0, 2)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "context string, base int, id string, score_a double, score_b double, group string, x array<double>")
+    model = preferences.Model([0.0, 0.0], [1.0, 1.0], [1.0, -1.0], 1.0)
+    pairs = lambda **how: [(r.a, r.b, r.key, r.priority) for r in preferences.candidate_pairs(df, **how).collect()]
+    useful, unsure, mixed = pairs(), pairs(strategy="uncertainty", model=model), pairs(strategy="random")
+    assert {p[2] for p in useful} == {p[2] for p in unsure} == {p[2] for p in mixed}
+    x, plain = {r[2]: r[6] for r in rows}, {p[2]: p[3] for p in useful}
+    for a, b, key, priority in unsure:
+        u = (x[a][0] - x[b][0]) - (x[a][1] - x[b][1])
+        p = 1 / (1 + np.exp(-np.clip(u, -35, 35)))
+        assert priority == pytest.approx(plain[key] + 4 * (0.5 - abs(p - 0.5)))
+    assert [p[3] for p in unsure] == sorted((p[3] for p in unsure), reverse=True)
+    assert mixed == pairs(strategy="random") and [p[2] for p in mixed] != [p[2] for p in useful]
+    seen = spark.createDataFrame([(p[2],) for p in useful[:30]] * 2, "key string")
+    assert [p[2] for p in pairs(seen=seen)] == [p[2] for p in useful[30:]]
+    with pytest.raises(ValueError):
+        pairs(strategy="other")
