@@ -35,6 +35,12 @@ def event_representatives(spark, sf_dir):
     return events.event_representatives(rows, SEGMENT)
 
 
+def central_representatives(spark, sf_dir):
+    """Of each event the rows nearest to the mean of its vectors, then those nearest to its median clock."""
+    rows = events.segments(hashed(spark, sf_dir)).join(bridge.vectors(spark, sf_dir), "id", "left")
+    return events.event_representatives(rows, SEGMENT)
+
+
 def _automatic(spark, sf_dir):
     rows = scored(spark, sf_dir)
     found = rows.join(events.segments(rows).select("id", "segment_start"), "id", "left")
@@ -176,7 +182,7 @@ def export_manifest(spark, sf_dir):
     return manifest(rows.select("id", F.concat(F.when(F.col("doc_id") % 13 == 0, "=").otherwise("/lib/"), "filename").alias("source_path"), F.col("filename").alias("source_name"), F.col("raw_rank").alias("rank"), F.when(F.col("tier") != "filesystem", F.concat("tier", F.lit(":"), "segment_start")).alias("event"), F.round("quality", 6).alias("technical_quality_v1"), label.alias("user_label")))
 
 
-QUERIES = [components_of_copies, density_statuses, visual_events, best_per_copy, favorites, event_segments, event_records, event_assignments, event_representatives, event_overlay, dbscan_events, hdbscan_events, explained, connected_components, holdout_partition, rank_a, rank_b, coverage_bins, shortlist_per_event, best20_library, export_manifest]
+QUERIES = [components_of_copies, density_statuses, visual_events, best_per_copy, favorites, event_segments, event_records, event_assignments, event_representatives, central_representatives, event_overlay, dbscan_events, hdbscan_events, explained, connected_components, holdout_partition, rank_a, rank_b, coverage_bins, shortlist_per_event, best20_library, export_manifest]
 
 _SEG = """, o AS (SELECT id, tier, aware, clock_us, row_number() OVER (PARTITION BY tier, aware ORDER BY clock_us, id) AS rn FROM scored WHERE clock_us IS NOT NULL),
  w(id, tier, aware, rn, clock_us, segment_start) AS (SELECT id, tier, aware, rn, clock_us, clock_us FROM o WHERE rn = 1 UNION ALL
@@ -210,6 +216,11 @@ _DENSE = A.replace("WITH ", "WITH RECURSIVE ", 1) + _COARSE + """, v AS (SELECT
  e AS (SELECT l.id AS a, r.id AS b FROM n l JOIN n r ON l.tier = r.tier AND l.aware = r.aware AND l.segment_start = r.segment_start AND l.id <> r.id AND abs(l.place - r.place) <= 64 WHERE abs(l.clock_us - r.clock_us) <= 14400000000 AND 0.3 * greatest(0, 1 - list_cosine_similarity(l.v, r.v)) + 0.7 * abs(l.clock_us - r.clock_us) / 14400000000 <= 0.35),
  w2(id, m) AS (SELECT id, id FROM n UNION SELECT e.b, w2.m FROM w2 JOIN e ON e.a = w2.id),
  c AS (SELECT w2.id, CASE WHEN w2.id IN (SELECT a FROM e) THEN arg_min(m, (n.clock_us, n.id)) END AS cluster FROM w2 JOIN n ON n.id = w2.m GROUP BY w2.id)"""
+#: The first of o2, the next that is no copy of it, and the next that is none of either.
+_FIRST_THREE = f""" a1 AS (SELECT * FROM o2 WHERE rn = 1), a2 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) WHERE {_APART.format(y="a1")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1),
+ a3 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) JOIN a2 USING ({_K}) WHERE {_APART.format(y="a1")} AND {_APART.format(y="a2")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1)
+ SELECT {_K}, CAST(1 AS INT) AS rank, id FROM a1 UNION ALL SELECT {_K}, 2, id FROM a2 UNION ALL SELECT {_K}, 3, id FROM a3"""
+
 ORACLES = {
     "event_segments": _S + " SELECT id, tier, aware, segment_start FROM seg",
     "event_records": _S + ", m AS (SELECT s.*, g.segment_start FROM scored s JOIN seg g USING (id)), r AS (SELECT 'auto-' || sha256('{\"members\":[' || string_agg('[\"' || id || '\",\"' || fingerprint || '\"]', ',' ORDER BY id, fingerprint) || ']}') AS event_id, count(*) AS n, arg_min(id, (clock_us, id)) AS first_id, arg_max(id, (clock_us, id)) AS last_id, "
@@ -227,9 +238,12 @@ ORACLES = {
     "density_statuses": _DENSE + " SELECT s.id, cluster, CASE WHEN cluster IS NULL THEN 'UNASSIGNED' WHEN s.tier <> 'exif_timezone' OR many > 65 THEN 'LOW_CONFIDENCE' ELSE 'EVENT_MEMBER' END AS status, CASE WHEN s.clock_us IS NULL THEN 'No usable timestamp' WHEN n.id IS NULL THEN 'No vector' WHEN cluster IS NULL THEN 'Too few rows near by in time and looks' WHEN s.tier = 'filesystem' THEN 'Filesystem timestamp can reflect copying' WHEN s.tier = 'exif_naive' THEN 'EXIF has no timezone; camera clocks may differ' WHEN many > 65 THEN 'Dense window: the search for neighbours was bounded' ELSE 'Near in time and looks' END AS reason FROM scored s LEFT JOIN n USING (id) LEFT JOIN c USING (id)",
     "visual_events": "WITH RECURSIVE n AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY CAST(vec_id AS VARCHAR)) AS place FROM embeddings), e AS (SELECT l.id AS a, r.id AS b FROM n l JOIN n r ON l.id <> r.id AND abs(l.place - r.place) <= 64 WHERE 0.3 * greatest(0, 1 - list_cosine_similarity(l.v, r.v)) <= 0.2), w(id, m) AS (SELECT id, id FROM n UNION SELECT e.b, w.m FROM w JOIN e ON e.a = w.id) SELECT id, CASE WHEN id IN (SELECT a FROM e) THEN min(m) END AS cluster FROM w GROUP BY id",
     "event_representatives": _HS + _RANKED + f""", o2 AS (SELECT fs.*, row_number() OVER (PARTITION BY {_K} ORDER BY abs(clock_us - m), quality DESC, id) AS rn FROM fs JOIN (SELECT {_K}, median(clock_us) AS m FROM fs GROUP BY ALL) USING ({_K})),
- a1 AS (SELECT * FROM o2 WHERE rn = 1), a2 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) WHERE {_APART.format(y="a1")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1),
- a3 AS (SELECT x.* FROM o2 x JOIN a1 USING ({_K}) JOIN a2 USING ({_K}) WHERE {_APART.format(y="a1")} AND {_APART.format(y="a2")} QUALIFY row_number() OVER (PARTITION BY {_X} ORDER BY x.rn) = 1)
- SELECT {_K}, CAST(1 AS INT) AS rank, id FROM a1 UNION ALL SELECT {_K}, 2, id FROM a2 UNION ALL SELECT {_K}, 3, id FROM a3""",
+""" + _FIRST_THREE,
+    "central_representatives": _HS + _RANKED + f""", fv AS (SELECT fs.*, v FROM fs LEFT JOIN (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) USING (id)),
+ pt AS (SELECT {_K}, k, avg(v[k]) AS x FROM (SELECT {_K}, v, unnest(generate_series(1, len(v))) AS k FROM fv WHERE v IS NOT NULL) GROUP BY ALL),
+ cn AS (SELECT {_K}, list(x ORDER BY k) AS c FROM pt GROUP BY ALL),
+ o2 AS (SELECT fv.*, row_number() OVER (PARTITION BY {_K} ORDER BY CASE WHEN v IS NOT NULL THEN -list_dot_product(v, c) / sqrt(list_dot_product(c, c)) ELSE abs(clock_us - m) END, quality DESC, id) AS rn FROM fv JOIN (SELECT {_K}, median(clock_us) AS m FROM fs GROUP BY ALL) USING ({_K}) LEFT JOIN cn USING ({_K})),
+""" + _FIRST_THREE,
     "explained": _HS + _RANKED + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY 0.6 * quality + 0.35 * representation + 0.05 * uniqueness DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS raw_rank FROM ctx) SELECT id, raw_rank, concat_ws('; ', CASE WHEN quality < 0.2 THEN 'Low technical score: no bonus for uniqueness or coverage' END, CASE WHEN sharpness < 0.2 THEN 'Low sharpness, which may be intended' END, CASE WHEN exposure < 0.4 THEN 'Exposure far from the middle, which low light may explain' END, CASE WHEN representation < 0.35 THEN 'Unlike its context: no bonus for uniqueness' END) AS weak_points, CAST(6 AS INT) AS reasons FROM r",
     "export_manifest": _HS + _RANKED + ", r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tier, aware, segment_start ORDER BY quality DESC, sharpness DESC, exposure DESC, resolution DESC, clipping, id) AS INT) AS rank FROM ctx) SELECT CASE WHEN doc_id % 13 = 0 THEN '=' ELSE '/lib/' END || filename AS source_path, filename AS source_name, rank, CASE WHEN tier <> 'filesystem' THEN tier || ':' || segment_start ELSE 'Unassigned' END AS event, round(quality, 6) AS technical_quality_v1, CASE WHEN doc_id % 7 = 0 THEN 'favorite' ELSE 'unmarked' END AS user_label FROM r WHERE rank <= 2",
     "shortlist_per_event": _HS + _RANKED + f""", lo AS (SELECT {_K}, min(clock_us) AS lo, max(clock_us) AS hi FROM fs GROUP BY ALL),
