@@ -145,3 +145,17 @@ def test_pair_strategies(spark):
     assert [p[2] for p in pairs(seen=seen)] == [p[2] for p in useful[30:]]
     with pytest.raises(ValueError):
         pairs(strategy="other")
+
+
+def test_refits_equal_fits_to_the_drawn_groups(spark):
+    df = examples(spark, 6).cache()
+    dimensions = len(df.first().a.x)
+    model = preferences.fit(df, 1.0, dimensions)
+    found = preferences.refits(df, 1.0, 3, dimensions)
+    assert set(found) == {1, 2, 3}
+    for draw, weights in found.items():
+        again = df.withColumn("draw", F.lit(draw)).withColumn("w", evaluation.drawn("group", "draw", preferences.SEED)).withColumn("turn", F.explode(F.expr("array_repeat(0, w)")))
+        assert weights.tolist() == pytest.approx(preferences.fit(again, 1.0, dimensions).weights, abs=1e-6)
+    stable = preferences.sign_stability(df, model, 3)
+    assert stable == [np.mean([np.sign(w[i]) == np.sign(model.weights[i]) for w in found.values()]) for i in range(dimensions)]
+    assert preferences.sign_stability(df.where("false"), model, 3) == [None] * dimensions
