@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halyard.operators import measures, ranking
+from halyard.operators import measures, preferences, ranking
 from halyard.sources import exports
 
 SCHEMA = "k string, id string, quality double, sharpness double, exposure double, resolution double, clipping double, p_hi long, p_lo long, clock_us long, groups array<string>"
@@ -81,3 +81,26 @@ def test_csv_guard(spark, tmp_path):
 def test_rows_without_a_clock_have_no_region(spark):
     df = spark.createDataFrame([("x", "a", 0), ("x", "b", 10**9), ("x", "c", None), ("y", "d", None)], "k string, id string, clock_us long")
     assert {r.id: r.region for r in ranking.coverage_bins(df, ["k"]).collect()} == {"a": "0", "b": "3", "c": "unknown", "d": "unknown"}
+
+
+def test_personal_short_lists(spark):
+    """A learnt score that likes poor rows takes the place of the generic one; without an active model, or with a row
+    that has no features, nothing changes."""
+    df = ranking.coverage_bins(ranking.rank(ranking.features(rows(spark, 40), ["k"]), ["k"]), ["k"]).withColumn("x", F.array("quality"))
+    model = preferences.Model([0.0], [1.0], [-5.0], 1.0, 0.25)
+    listed = lambda found: sorted((r.k, r.rank, r.id) for r in found.collect())
+    generic, own = listed(ranking.shortlist(df, ["k"], 6)), listed(preferences.personal_shortlist(df, {"active": True, "model": model}, ["k"], 6))
+    assert own != generic
+    plain = []
+    for k in "xy":
+        some = [r.asDict() for r in df.where(F.col("k") == k).collect()]
+        for r in some:
+            r["score"] = 0.25 * r["score"] + 0.75 / (1 + np.exp(5 * r["quality"]))
+        some.sort(key=lambda r: (-r["score"], r["id"]))
+        for place, r in enumerate(some):
+            r["raw_rank"] = place + 1
+        plain += [(k, *p[:2]) for p in ranking.pick(some, 6, ranking.Weights())]
+    assert own == sorted(plain)
+    assert listed(preferences.personal_shortlist(df, {"active": False}, ["k"], 6)) == generic
+    gap = df.withColumn("x", F.when(F.col("raw_rank") > 1, F.col("x")))
+    assert listed(preferences.personal_shortlist(gap, {"active": True, "model": model}, ["k"], 6)) == generic
