@@ -243,6 +243,8 @@ def classes(workspace: Workspace, documents: DataFrame, width: int = 5, threshol
     link between sets counts for each of their texts. The least text of a class has its smallest id, and of several with
     that id the smallest digest, so classes that share their smallest id stay apart and no row order matters.
     """
+    # joins are sorted and merged at every size: the planner sees neither how many rows an explode makes nor how far a
+    # written table was compressed, so what it takes for small and broadcasts can be many times the driver's memory
     groups = groups_for(documents, BUCKET_BYTES, 64)
     docs = workspace.table(signed(documents, width), "signatures")
     texts = docs.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.any_value("shingles").alias("shingles"), F.any_value("sig").alias("sig"))
@@ -254,7 +256,7 @@ def classes(workspace: Workspace, documents: DataFrame, width: int = 5, threshol
     # a row goes to each pair of its block and another (x, y); side -1: the block with itself
     gid = F.xxhash64("band", "value", F.least("x", "y"), F.greatest("x", "y"))
     blocked = (
-        bands.join(shared, ["band", "value"])
+        bands.hint("merge").join(shared, ["band", "value"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         .withColumn("x", F.pmod(F.xxhash64("rep", "value"), "blocks"))
         .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -263,18 +265,17 @@ def classes(workspace: Workspace, documents: DataFrame, width: int = 5, threshol
         .withColumn("part", F.when(F.col("large"), F.col("gid")).otherwise(F.pmod("gid", F.lit(groups))))  # small bands share groups, a pair of blocks is one of its own
         .select("rep", "band", "gid", "side", "part")
     )
-    survivors = workspace.table(blocked.join(sets.select("rep", "sig"), "rep").groupBy("part").applyInArrow(_survivors(least_matches(threshold)), SURVIVORS), "candidates")
-    # sorted and merged at every size: a broadcast of the candidates would end where they outgrow it
-    # and a text that is repeated comes once
+    survivors = workspace.table(blocked.hint("merge").join(sets.select("rep", "sig"), "rep").groupBy("part").applyInArrow(_survivors(least_matches(threshold)), SURVIVORS), "candidates")
+    # a text that is repeated comes once
     texts_of = documents.select(digest().alias("digest"), "text").groupBy("digest").agg(F.min("text").alias("text"))
     found = survivors.hint("merge").join(sets.select("rep", "digest", "copy_id", "n_texts"), "rep").hint("merge").join(texts_of, "digest")
     links = workspace.table(found.groupBy("part").applyInArrow(_verified(width, threshold), LINKS), "links")
     n_links = links.groupBy("digest").agg(F.sum("links").alias("links"))
     node = lambda doc, text: F.struct(F.col(doc).alias("doc"), F.col(text).alias("digest"))
     least = components(links.select(node("copy_id", "digest").alias("u"), node("anchor_id", "anchor").alias("v")), 0).select(F.col("u.digest").alias("digest"), F.col("v").alias("least"))
-    by_set = sets.select("shingles", "n_texts", "copy_id", "digest").join(n_links, "digest", "left").join(least, "digest", "left")
+    by_set = sets.select("shingles", "n_texts", "copy_id", "digest").hint("merge").join(n_links, "digest", "left").hint("merge").join(least, "digest", "left")
     by_set = by_set.select("shingles", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).cast("long").alias("n_links"), F.coalesce("least", node("copy_id", "digest")).alias("least"))
-    by_text = texts.select("digest", "copy_id", "n_copies", "shingles").join(by_set, "shingles", "left")
+    by_text = texts.select("digest", "copy_id", "n_copies", "shingles").hint("merge").join(by_set, "shingles", "left")
     return docs.select("doc_id", "digest"), by_text.select(
         "digest",
         F.coalesce("least.doc", "copy_id").alias("class_id"),
@@ -297,7 +298,7 @@ def join(spark: SparkSession, documents: DataFrame, width: int = 5, threshold: f
     known = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
     with Workspace(spark, "jaccard") as workspace:
         docs, by_text = classes(workspace, identified(documents), width, threshold)
-        return workspace.result(docs.join(by_text, "digest").select(known("doc_id"), known("class_id"), known("copy_id"), "n_copies", "n_links"))
+        return workspace.result(docs.hint("merge").join(by_text, "digest").select(known("doc_id"), known("class_id"), known("copy_id"), "n_copies", "n_links"))
 
 
 def op6_jaccard_join(spark, sf_dir):
