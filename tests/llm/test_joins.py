@@ -1,5 +1,6 @@
 """Operator 6 sends no table to the driver, however small the planner takes it for."""
 
+import corpus_pipeline
 from halyard.llm import jaccard_join
 
 from tests.plans import broadcasts
@@ -13,3 +14,7 @@ def documents(spark):
 
 def test_join_broadcasts_nothing(spark):
     assert not broadcasts(spark, lambda: jaccard_join.join(spark, documents(spark)).collect())
+
+
+def test_pipeline_stage_broadcasts_nothing(spark):
+    assert not broadcasts(spark, lambda: corpus_pipeline.one_of_each_group(spark, documents(spark), "").collect())
