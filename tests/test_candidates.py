@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from halyard.operators import candidates, detection, evaluation, evidence, graph, grouping
 
+from tests.plans import plans
+
 HASH = "id string, p_hi long, p_lo long"
 
 
@@ -181,3 +183,29 @@ def test_projection_windows_do_not_stop_at_cells(spark):
     assert got == expected == {(r.a, r.b) for r in candidates.projection_neighbours(df, cells=40).collect()}
     truth = {(f"{min(i, j):03d}", f"{max(i, j):03d}") for i in range(300) for j in top(i, range(300))}
     assert len(got & truth) >= 0.5 * len(truth)
+
+
+def test_tables_of_blocks_equal_brute_force(spark, monkeypatch):
+    """Every way of cutting hashes into blocks, with a key that many share, and without pairs of one content."""
+    rows = adversarial(200, 4) + [(f"s{i}", 7 << 20, 1 << (i % 30)) for i in range(40)]
+    expected = {(*sorted((a[0], b[0])), popcount(a, b)) for a, b in itertools.combinations(rows, 2) if popcount(a, b) <= 8}
+    df = spark.createDataFrame(rows, HASH)
+    for blocks, agree, _ in candidates._tables(8):
+        monkeypatch.setattr(candidates, "_cheapest", lambda *_, way=(blocks, agree): way)
+        assert {tuple(r) for r in candidates.hamming_pairs(df, 8).collect()} == expected
+    half = {r[0]: int(r[1] % 2) for r in rows}
+    got = {tuple(r) for r in candidates.hamming_pairs(df.withColumn("k", (F.col("p_hi") % 2).cast("string")), 8, unlike="k").collect()}
+    assert got == {p for p in expected if half[p[0]] != half[p[1]]}
+
+
+def test_more_tables_for_more_hashes():
+    assert candidates._cheapest(8, 10**4, 1.0) == (9, 1) and candidates._cheapest(8, 10**7, 1.0)[0] > 9 and candidates._cheapest(8, 10**6, 20.0) == (9, 1)
+    assert candidates._cheapest(0, 10**6, 1.0)[0] <= 3
+
+
+def test_a_hash_is_no_row_of_probes(spark):
+    """A few numbers a table leave for the executors: 9 rows for each of a few thousand hashes, where probes made 250."""
+    pick = random.Random(9)
+    df = spark.createDataFrame([(str(i), pick.getrandbits(32), pick.getrandbits(32)) for i in range(3000)], HASH)
+    found = plans(spark, lambda: candidates.hamming_pairs(df, 8).collect())
+    assert any("MapInArrow" in p for p in found) and not any("SortMergeJoin" in p and "Generate explode" in p for p in found)
